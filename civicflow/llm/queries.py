@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.llm import lookalike, neardup
+from civicflow.llm import leakage, lookalike, neardup, tokenize
 from civicflow.sources.tables import table
 
 
@@ -18,6 +18,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "messages"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode_texts(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_coverage(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
