@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.llm import garble, leakage, lookalike, neardup, tokenize
+from civicflow.llm import garble, leakage, lookalike, neardup, tokenize, toxicity
 from civicflow.sources.tables import table
 
 
@@ -14,6 +14,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "messages"))
 
 
+def _scored(spark: SparkSession, d: str, only_found: bool) -> DataFrame:
+    messages = table(spark, d, "messages")
+    model = toxicity.fit_from_labels(messages, table(spark, d, "message_labels"))
+    return toxicity.score_messages(messages, model, only_found)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, True).select("message_id")
+
+
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, False)
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates_by_source(table(spark, d, "messages"), _scored(spark, d, False))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "messages"))
 
@@ -38,6 +56,10 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garble.restored_documents(table(spark, d, "documents"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_degrees(table(spark, d, "messages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
