@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from civicflow.llm import garble, leakage, lookalike, neardup, tokenize, toxicity
+from civicflow.llm import garble, leakage, lookalike, neardup, pii, tokenize, toxicity
 from civicflow.sources.tables import table
 
 
@@ -32,6 +33,15 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates_by_source(table(spark, d, "messages"), _scored(spark, d, False))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_spans(table(spark, d, "messages")).select("message_id", F.col("kind").alias("pii_kind")).distinct()
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "messages")
+    return pii.masked_texts(messages, pii.personal_spans(messages))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "messages"))
 
