@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm import garble, leakage, lookalike, neardup, pii, tokenize, toxicity
+from civicflow.llm import canonical, garble, leakage, lookalike, neardup, pii, tokenize, toxicity
 from civicflow.sources.tables import table
 
 
@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "messages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    values = canonical.address_and_country_values(table(spark, d, "flexible_address_izhevsk_v1"), table(spark, d, "exceptions_countries"))
+    return canonical.map_to_reference(values, table(spark, d, "reference_names"))
+
+
 def _scored(spark: SparkSession, d: str, only_found: bool) -> DataFrame:
     messages = table(spark, d, "messages")
     model = toxicity.fit_from_labels(messages, table(spark, d, "message_labels"))
