@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civicflow.plans import spatial_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(spatial_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
