@@ -35,7 +35,6 @@ _WORD = re.compile(r"[^\W_]+")
 MISS = 0.004  # chance allowed that a light pair at the threshold shares no subset
 #: The words that most sets share take no part in subsets, so a pair's similarity on the others is lower.
 RARE_LOSS = 0.97
-SKETCH_WORDS = 32  # first words of a set, two bits of each, that candidates are compared by before they are moved
 COMMON = 0.1  # a word in more than this share of all sets takes no part in subsets
 
 
@@ -115,7 +114,6 @@ def _subset_rows(sets: DataFrame, common: list[int], subset_size: int, subsets:
                 padded[owner, column] = flat
                 empty = padded == last
                 out = np.empty((batch.num_rows, subsets), dtype=np.uint64)
-                sketch = np.zeros(batch.num_rows, dtype=np.uint64)
                 for b, seed in enumerate(seeds):
                     order = _mix(padded, seed)
                     order[empty] = last
@@ -124,21 +122,10 @@ def _subset_rows(sets: DataFrame, common: list[int], subset_size: int, subsets:
                     for k in range(subset_size):
                         code = _mix(code ^ first[:, k], np.uint64(k + 1))
                     out[:, b] = code
-                    if b < SKETCH_WORDS:
-                        sketch |= (_mix(first[:, 0], np.uint64(99)) & np.uint64(3)) << np.uint64(2 * b)
                 ids = np.repeat(batch.column(0).to_numpy(), subsets)
-                sketches = np.repeat(sketch.view(np.int64), subsets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out.reshape(-1).view(np.int64)), pa.array(ids), pa.array(sketches)], names=["subset", "set_id", "sketch"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(ids)], names=["subset", "set_id"])
 
-    return sets.select("set_id", "words").mapInArrow(run, "subset bigint, set_id bigint, sketch bigint")
-
-
-def _least_matches(similarity: float) -> int:
-    """Sketch fields that a pair at the threshold shares but for a chance of about 1e-5."""
-    p = 0.25 + 0.75 * similarity * RARE_LOSS**2
-    return math.floor(SKETCH_WORDS * p - 4.3 * math.sqrt(SKETCH_WORDS * p * (1 - p)))
+    return sets.select("set_id", "words").mapInArrow(run, "subset bigint, set_id bigint")
 
 
 def _prefix_rows(sets: DataFrame, common: dict[int, int], share: float, name: str) -> DataFrame:
@@ -182,10 +169,7 @@ def near_duplicate_sets(
     common = [w for w, c in frequent.items() if c > COMMON * total]
     light = _subset_rows(sets.where(n <= boundary), common, subset_size, subsets)
     a, b = light.alias("a"), light.alias("b")
-    apart = "(a.sketch ^ b.sketch)"
-    differing = f"bit_count(({apart} | shiftrightunsigned({apart}, 1)) & 6148914691236517205L)"
-    alike = f"{SKETCH_WORDS} - {differing} >= {_least_matches(similarity)}"
-    found = a.join(b, F.expr(f"a.subset = b.subset AND a.set_id < b.set_id AND {alike}")).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
+    found = a.join(b, F.expr("a.subset = b.subset AND a.set_id < b.set_id")).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
     if any(size > boundary for size in sizes):
         lists = _prefix_rows(sets.where(n >= similarity * boundary), frequent, similarity, "x")
         probes = _prefix_rows(sets.where(n > boundary), frequent, similarity, "y")
@@ -193,7 +177,13 @@ def near_duplicate_sets(
             (F.col("x") != F.col("y")) & (F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size"))
         )
         found = found.unionByName(scans.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    pairs = materialize(found.distinct(), "set-pairs")
+    # Candidates meet first on 16 bits of each word, which can only make sets look more alike (but for a
+    # word or two of one set that coincide); the few that pass are verified on the whole words.
+    brief = sets.select("set_id", F.expr("transform(words, w -> cast((w & 65535) - 32768 as smallint))").alias("s"), n.alias("n"))
+    near = found.distinct().join(brief.select(F.col("set_id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
+    near = near.join(brief.select(F.col("set_id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+    enough = (F.size(F.array_intersect("sa", "sb")) + 2) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb"))
+    pairs = materialize(near.where(enough).select("a", "b"), "set-pairs")
     sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi")
     left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
     both = left.join(sets.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
