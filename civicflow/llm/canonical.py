@@ -39,6 +39,8 @@ SHORT_FORMS = {
 }
 _LAYOUT = str.maketrans(KEYS_LATIN, KEYS_RUSSIAN)
 _NOTE = re.compile(r"[(/\[][^)/\]]*[а-яё][^)/\]]*[)/\]]")
+_GLUED = re.compile(r"(?<=[а-яё])(?=[А-ЯЁ][А-ЯЁа-яё]{3})")
+_CHANGED = re.compile(r"(?<=[а-яё])([,.])(?=[a-z\[\];'`])")
 _KEYED = re.compile(r"[a-z\[\];',.`]*[a-z][a-z\[\];',.`]*$")
 _WORD = re.compile(r"[^\W\d_]+(?:-(?:во|ва)\b|~[^\W\d_]+)?")
 _ADJECTIVE = re.compile(r"(?<=....)(?:ая|яя|ья|ой|ей|ую|aya|ya|oy|ey)$")
@@ -56,10 +58,15 @@ def stem(word: str) -> str:
 
 def readings(value: str, forms: Lookalikes) -> list[str]:
     """The ways to read a value: as it is, and as typed on the other layout."""
-    text = " ".join(forms.text(value).lower().split())
+    # Words run together are cut where the case or the keyboard changes.
+    text = _GLUED.sub(" ", forms.text(value)).lower()
+    text = " ".join(_CHANGED.sub(r"\1 ", text).split())
     out = [_NOTE.sub(" ", text).replace("ё", "е")]
     parts = text.split(" ")
-    keyed = [p.translate(_LAYOUT) if _KEYED.match(p) and len(p) >= 4 else p for p in parts]
+    keyed = []
+    for p in parts:
+        core = p.rstrip(",.")
+        keyed.append(core.translate(_LAYOUT) + p[len(core) :] if _KEYED.match(core) and len(core) >= 4 else p)
     if keyed != parts:
         out.append(" ".join(keyed).replace("ё", "е"))
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm import canonical, garble, leakage, lookalike, neardup, pii, tokenize, toxicity
+from civicflow.llm import address, canonical, garble, leakage, lookalike, neardup, pii, tokenize, toxicity
 from civicflow.sources.tables import table
 
 
@@ -20,6 +20,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_reference(values, table(spark, d, "reference_names"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return address.linked_addresses(table(spark, d, "flexible_address_izhevsk_v1"))
+
+
+def p3_components(spark: SparkSession, d: str) -> DataFrame:
+    return address.address_components(table(spark, d, "flexible_address_izhevsk_v1"))
+
+
 def _scored(spark: SparkSession, d: str, only_found: bool) -> DataFrame:
     messages = table(spark, d, "messages")
     model = toxicity.fit_from_labels(messages, table(spark, d, "message_labels"))
