@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # The WGS84 ellipsoid.
 A, FLATTENING = 6_378_137.0, 1 / 298.257223563
@@ -46,7 +47,7 @@ def geodesic(lon1, lat1, lon2, lat2):
     return np.where(settled, distance, great), azimuth
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def geodesic_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     return pd.Series(geodesic(lon1, lat1, lon2, lat2)[0]).where(lon1.notna() & lat1.notna() & lon2.notna() & lat2.notna())
 
@@ -71,7 +72,7 @@ def transverse_mercator(lon, lat, central):
     return 0.9996 * radius * east, 0.9996 * radius * north
 
 
-@pandas_udf("struct<east double, north double>")
+@pandas_udf(StructType([StructField("east", DoubleType()), StructField("north", DoubleType())]))
 def utm_point(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
     zone = np.minimum(np.floor((lon + 180) / 6), 59)
     east, north = transverse_mercator(lon, lat, zone * 6 - 177)

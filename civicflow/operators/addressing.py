@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from civicflow.operators.normalize import sequence_ratio
 from civicflow.operators.spatial import haversine_m
@@ -25,7 +26,7 @@ _RULES = [
     ("poi", re.compile(rf"(?<!\w)(?i:школа|поликлиника|больница|парк|сквер|мост|вокзал|детский сад)\s+(?:№\s*)?(?:{_NAME}|\d+)")),
 ]
 _TAIL = re.compile(rf"(?:(?i:дом|д)\.?\s*)?(?P<n>{_NUMBER})\s*$")
-_MENTION = "struct<text string, kind string, street string, house_number string, confidence double>"
+_MENTION = StructType([*(StructField(n, StringType()) for n in ("text", "kind", "street", "house_number")), StructField("confidence", DoubleType())])
 
 
 def mention_of(text: str) -> tuple | None:

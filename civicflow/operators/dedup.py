@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import text as T
-from civicflow.operators.graph import connected_components
 from civicflow.operators.normalize import sequence_ratio, simhash64
 from civicflow.session import materialize
 
@@ -57,35 +55,41 @@ def near_duplicate_edges(rows: DataFrame) -> DataFrame:
     return both.select("a", "b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
 
-def greedy_verdicts(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def greedy_verdicts(rows: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Verdicts by the ladder in canonical order: a row that is alike to an earlier *included* row is a
-    duplicate of the most similar one. Only rows of one component see each other, so components run apart."""
-    components = connected_components(edges.select("a", "b"))
-    placed = edges.join(components.select(F.col("node").alias("a"), "component"), "a")
-    info = rows.select(F.col("message_id").alias("node"), "source", F.col("published_at").alias("t"))
-    nodes = components.join(info, "node")
-
-    def settle(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        order = nodes.sort_values(["t", "source", "node"], na_position="last").node.tolist()
-        place = {n: k for k, n in enumerate(order)}
-        source = dict(zip(nodes.node, nodes.source, strict=True))
-        near: dict[int, list[tuple[float, int]]] = {}
-        for x, y, s in zip(links.a, links.b, links.similarity, strict=True):
-            near.setdefault(x, []).append((s, y))
-            near.setdefault(y, []).append((s, x))
-        kept: set[int] = set()
-        out = []
-        for n in order:
-            best = min(((-s, place[o], o) for s, o in near.get(n, ()) if o in kept), default=None)
-            if best is None:
-                kept.add(n)
-                out.append((n, n, "unique", True))
-            else:
-                out.append((n, best[2], "technical_duplicate" if source[n] == source[best[2]] else "cross_source_repost", False))
-        return pd.DataFrame(out, columns=["message_id", "first_id", "kind", "included"])
-
-    grouped = nodes.groupBy("component").cogroup(placed.groupBy("component"))
-    return grouped.applyInPandas(settle, "message_id bigint, first_id bigint, kind string, included boolean")
+    duplicate of the most similar one (the earliest on a tie).
+
+    The order is settled in rounds on tables: a row with an included earlier neighbour is out, one whose
+    earlier neighbours are all out is in. No group of alike rows ever meets in one task."""
+    info = rows.select("message_id", F.lower("source").alias("s"), F.coalesce(F.unix_micros("published_at"), F.lit(2**62)).alias("t"))
+    placed = edges.join(info.select(F.col("message_id").alias("a"), F.struct("t", "s", F.col("message_id").alias("i")).alias("pa")), "a")
+    placed = placed.join(info.select(F.col("message_id").alias("b"), F.struct("t", "s", F.col("message_id").alias("i")).alias("pb")), "b")
+    first = F.col("pa") < F.col("pb")
+    oriented = placed.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), "similarity", F.least("pa", "pb").alias("place")
+    )
+    oriented = materialize(oriented, "near-edges")
+    late = oriented.select(F.col("late").alias("node")).distinct()
+    start = oriented.select(F.col("early").alias("node")).distinct().join(late, "node", "left_anti")
+    state = materialize(start.select("node", F.lit(True).alias("kept")), "near-state")
+    left = late.count()
+    for _ in range(max_rounds):
+        if not left:
+            break
+        open_edges = oriented.join(state.select(F.col("node").alias("late")), "late", "left_anti")
+        known = open_edges.join(state.withColumnRenamed("node", "early"), "early", "left").groupBy("late").agg(
+            F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("settled")
+        )
+        fresh = known.where("hit OR settled").select(F.col("late").alias("node"), (~F.col("hit")).alias("kept"))
+        state = materialize(state.unionByName(fresh), "near-state")
+        left = late.join(state, "node", "left_anti").count()
+    leaders = oriented.join(state.where("kept").select(F.col("node").alias("early")), "early").groupBy(F.col("late").alias("node")).agg(
+        F.min_by("early", F.struct(-F.col("similarity"), "place")).alias("leader")
+    )
+    out = state.join(leaders, "node", "left").join(info.select(F.col("message_id").alias("node"), "s"), "node")
+    out = out.join(info.select(F.col("message_id").alias("leader"), F.col("s").alias("leader_source")), "leader", "left")
+    kind = F.when(F.col("kept"), "unique").when(F.col("s") == F.col("leader_source"), "technical_duplicate").otherwise("cross_source_repost")
+    return out.select(F.col("node").alias("message_id"), F.when(F.col("kept"), F.col("node")).otherwise(F.col("leader")).alias("first_id"), kind.alias("kind"), F.col("kept").alias("included"))
 
 
 def verdict_counts(verdicts: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from civicflow.functions import text as T
 
@@ -63,13 +64,13 @@ def markup_to_text(value: str) -> tuple[str, str]:
     return "".join(parser.out), "".join(parser.quotes).strip()
 
 
-@pandas_udf("struct<text string, quote string>")
+@pandas_udf(StructType([StructField("text", StringType()), StructField("quote", StringType())]))
 def html_text(values: pd.Series) -> pd.DataFrame:
     rows = [(None, None) if v is None else markup_to_text(v) for v in values]
     return pd.DataFrame(rows, columns=["text", "quote"])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def compatibility_form(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -93,12 +94,12 @@ def simhash(value: str) -> int:
     return out - (1 << 64) if out >> 63 else out
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def simhash64(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else simhash(v)).astype("Int64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.casefold(), y.casefold()).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
 
@@ -106,7 +107,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def pseudonym(secret: str, source: Column, author: Column) -> Column:
     """Keyed digest of an author within a source; null stays null."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def keyed(s: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else "author_" + hmac.new(secret.encode(), f"{x}\0{y}".encode(), hashlib.sha256).hexdigest() for x, y in zip(s, a, strict=True)])
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.operators.spatial import points_in_regions
+from civicflow.plans.registry import query
 from civicflow.sources.tables import table
 
 
+@query()
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "flexible_address_izhevsk_v1")
     points = cases.select(F.col("case_id").alias("point_id"), F.expr("try_element_at(selected.coordinates, 1)").alias("lon"), F.expr("try_element_at(selected.coordinates, 2)").alias("lat"))
@@ -17,5 +19,3 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     )
     return points_in_regions(points, regions).select(F.col("region_id").alias("territory_id"), F.col("point_id").alias("case_id"))
 
-
-QUERIES = {"p6_found": p6_found}
