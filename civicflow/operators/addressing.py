@@ -18,7 +18,7 @@ STREET_WORDS = "ул|улица|пр|проспект|пер|переулок|н
 RULE_CONFIDENCE, SHORT_CONFIDENCE = 0.58, 0.56
 _NAME = r"[А-ЯЁA-Z][А-Яа-яЁёA-Za-z0-9.\-]*"
 _STREET = rf"(?<!\w)(?i:{STREET_WORDS})\.?\s+{_NAME}(?:\s+{_NAME}){{0,4}}"
-_NUMBER = r"\d+[А-Яа-яA-Za-z]?(?:\s*(?i:к|корп\.?|корпус)\s*\d+)?"
+_NUMBER = r"\d+(?:[А-Яа-яA-Za-z](?![А-Яа-яA-Za-z]|\s*\d))?(?:\s*(?i:к|корп\.?|корпус)\s*\d+)?"
 _RULES = [
     ("intersection", re.compile(rf"{_STREET}\s+(?i:и|/|угол)\s+{_STREET}")),
     ("street", re.compile(rf"{_STREET}(?:\s*,?\s*(?:(?i:дом|д\.?)\s*)?{_NUMBER})?")),
@@ -86,7 +86,8 @@ def geocode_query(street: Column, number: Column, city: Column) -> Column:
 
 def rank_confidence(importance: Column, rank: Column, limit: int) -> Column:
     """Confidence from a service's importance and order, within [0.05, 0.99]."""
-    return F.greatest(F.lit(0.05), F.least(F.lit(0.99), 0.55 * importance + 0.45 * (1 - rank / limit)))
+    value = 0.55 * importance + 0.45 * (1 - rank / limit)
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.05), F.least(F.lit(0.99), value)))
 
 
 def token_f1(a: Column, b: Column) -> Column:

@@ -47,7 +47,8 @@ def external_connectivity(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def normalized(raw: Column, name: str) -> Column:
-    return F.least(F.lit(1.0), raw / REFERENCES[name])
+    """Share of the reference, at most 1; null stays null (``least`` alone would drop it)."""
+    return F.when(raw.isNotNull(), F.least(F.lit(1.0), raw / REFERENCES[name]))
 
 
 def score(indicators: dict[str, Column], weights: dict[str, float] | None = None) -> Column:

@@ -10,6 +10,7 @@ from civicflow.functions import geodesy
 from civicflow.operators import dedup, events, scoring
 from civicflow.plans.label_queries import _LATEST, _latest
 from civicflow.plans.registry import query
+from civicflow.sources.pages import access_wall
 from civicflow.sources.tables import table
 
 _STOPS = ", ".join(f"'{w}'" for w in events.STOP_WORDS)
@@ -61,29 +62,29 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
 
 
-@query("SELECT a.label AS scope, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.72")
+@query("SELECT a.label AS scope, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
 def e07_cosine_edges(spark, d):
-    return events.cosine_edges(_vectors(spark, d))
+    return events.cosine_edges(_vectors(spark, d), 0.3)
 
 
 @query(
-    """WITH RECURSIVE e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.72),
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
     r AS (SELECT vec_id AS k, vec_id AS m FROM embeddings UNION SELECT e.b, r.m FROM r JOIN e ON r.k = e.a), c AS (SELECT k, min(m) AS m FROM r GROUP BY 1)
     SELECT label AS scope, vec_id AS key, m AS cluster FROM embeddings JOIN c ON vec_id = k QUALIFY count(*) OVER (PARTITION BY m) >= 2"""
 )
 def e07_cosine_clusters(spark, d):
     v = _vectors(spark, d)
-    return events.clusters(v, events.cosine_edges(v))
+    return events.clusters(v, events.cosine_edges(v, 0.3))
 
 
-@query("SELECT count(*) AS noise FROM embeddings a WHERE NOT EXISTS (SELECT 1 FROM embeddings b WHERE a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.72)")
+@query("SELECT count(*) AS noise FROM embeddings a WHERE NOT EXISTS (SELECT 1 FROM embeddings b WHERE a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3)")
 def e09_noise_count(spark, d):
     v = _vectors(spark, d)
-    inside = events.cosine_edges(v).select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    inside = events.cosine_edges(v, 0.3).select(F.explode(F.array("a", "b")).alias("key")).distinct()
     return v.join(inside, "key", "left_anti").agg(F.count(F.lit(1)).alias("noise"))
 
 
-@query(f"SELECT message_id % 50 AS g, category.label AS category FROM ({_LATEST}) WHERE category.label IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, lower(category.label), category.label) = 1")
+@query(f"SELECT message_id % 50 AS g, category.label AS category FROM ({_LATEST}) WHERE category.label IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY message_id % 50 ORDER BY count(*) DESC, lower(category.label), category.label) = 1")
 def e11_dominant_label(spark, d):
     rows = _latest(spark, d).select((F.col("message_id") % 50).alias("g"), F.col("category.label").alias("category"))
     return events.dominant(rows, ["g"], "category")
@@ -113,10 +114,12 @@ def e14_neighbour_cosine(spark, d):
     return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(events.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
 
 
-@query("SELECT n_regionkey AS region, n_name AS nation, round(sum(c_acctbal), 2) AS total, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_regionkey, n_name), (n_regionkey), ())")
+@query("SELECT coalesce(n_regionkey, -1) AS region, coalesce(n_name, 'all') AS nation, round(sum(c_acctbal), 2) AS total, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_regionkey, n_name), (n_regionkey), ())")
 def e17_population_rollup(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.rollup(F.col("n_regionkey").alias("region"), F.col("n_name").alias("nation")).agg(F.round(F.sum(F.col("c_acctbal").cast("decimal(18,2)")), 2).cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
+    return rows.rollup(F.col("n_regionkey").alias("region"), F.col("n_name").alias("nation")).agg(F.round(F.sum(F.col("c_acctbal").cast("decimal(18,2)")), 2).cast("double").alias("total"), F.count(F.lit(1)).alias("n")).withColumns(
+        {"region": F.coalesce("region", F.lit(-1)), "nation": F.coalesce("nation", F.lit("all"))}
+    )
 
 
 @query(
@@ -170,8 +173,8 @@ def _spread(spark, d) -> DataFrame:
     c = F.col("selected.coordinates")
     rows = table(spark, d, "flexible_address_izhevsk_v1").where(c.isNotNull()).select("city", c[0].alias("lon"), c[1].alias("lat"))
     lon, lat = geodesy.spherical_centroid(F.col("lon"), F.col("lat"))
-    centre = rows.groupBy("city").agg(lon.alias("clon"), lat.alias("clat"))
-    return rows.join(centre, rows.city.eqNullSafe(centre.city)).select(rows.city, geodesy.geodesic_m("lon", "lat", "clon", "clat").alias("m")).groupBy("city").agg(F.round(F.max("m"), 3).alias("spread_m"))
+    centre = rows.groupBy(F.col("city").alias("ccity")).agg(lon.alias("clon"), lat.alias("clat"))
+    return rows.join(centre, F.col("city").eqNullSafe(F.col("ccity"))).select("city", geodesy.geodesic_m("lon", "lat", "clon", "clat").alias("m")).groupBy("city").agg(F.round(F.max("m"), 3).alias("spread_m"))
 
 
 @query()
@@ -225,11 +228,15 @@ def pipeline_events(spark, d) -> DataFrame:
     rows = messages.join(classes, "message_id").join(places, "message_id")
     scoped = rows.select("message_id", "text", "published_at", "category", "topic", F.explode(events.scopes(F.col("p.city"), F.col("p.street"), F.col("p.building"))).alias("s"))
     scoped = scoped.select("*", "s.level", "s.object_id").drop("s").where("level <> 'global'")
+    # The widest level is a theme of one year: pairs of all messages would grow without bound.
+    area = F.concat_ws(":", "topic", F.date_format("published_at", "yyyy"))
+    wide = rows.where("topic IS NOT NULL").select("message_id", "text", "published_at", "category", "topic", F.lit("area").alias("level"), area.alias("object_id"))
+    scoped = scoped.unionByName(wide)
     words = rows.select("message_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(events.WORD), F.lit(0))).alias("word"))
     vectors = events.hashing_embedding(words, "message_id")
     scope = F.concat_ws("|", "level", "object_id")
     inputs = scoped.join(vectors, "message_id").select(scope.alias("scope"), F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string")).alias("key"), "vector")
-    found = events.clusters(inputs, events.cosine_edges(inputs, 0.35))
+    found = events.clusters(inputs, events.cosine_edges(inputs, 0.3))
     members = scoped.withColumn("key", F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string"))).join(found.select("key", "cluster"), "key")
     return events.aggregate_events(members).select("event_id", "level", "object_id", "size", "category", "topic", "started_at", "ended_at", "message_ids")
 
@@ -256,20 +263,18 @@ def s18_exploded_reasons(spark, d):
 
 
 @query("SELECT message_id, CASE WHEN contains(url, 't.me/') THEN regexp_extract(url, 't\\.me/(?:s/)?([A-Za-z0-9_]+)', 1) END AS channel FROM messages WHERE url IS NOT NULL")
-def p02_telegram_channels(spark, d):
+def pred02_telegram_channels(spark, d):
     return table(spark, d, "messages").where("url IS NOT NULL").select("message_id", F.when(F.contains("url", F.lit("t.me/")), F.regexp_extract("url", r"t\.me/(?:s/)?([A-Za-z0-9_]+)", 1)).alias("channel"))
 
 
 @query("SELECT message_id, regexp_matches(url, '^https?://[^/@:]+(:(80|443))?(/|$|\\?)') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') AS safe FROM messages WHERE url IS NOT NULL")
-def p03_url_safety(spark, d):
+def pred03_url_safety(spark, d):
     u = F.col("url")
     return table(spark, d, "messages").where("url IS NOT NULL").select("message_id", (u.rlike(r"^https?://[^/@:]+(:(80|443))?(/|$|\?)") & ~u.rlike(r"^https?://(localhost|127\.|10\.|192\.168\.)")).alias("safe"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'forbidden' WHEN event_id % 7 = 1 THEN 'rate_limited' WHEN contains(lower(event_type), 'error') THEN 'captcha' ELSE 'open' END AS wall FROM events")
-def p01_access_walls(spark, d):
-    from civicflow.sources.pages import access_wall
-
+def pred01_access_walls(spark, d):
     status = F.when(F.col("event_id") % 7 == 0, 403).when(F.col("event_id") % 7 == 1, 429).otherwise(200)
     text = F.when(F.contains(F.lower("event_type"), F.lit("error")), "Please solve the CAPTCHA").otherwise("ok")
     return table(spark, d, "events").select("event_id", access_wall(status, text).alias("wall"))

@@ -182,7 +182,8 @@ def g24_geo_evidence(spark, d):
 @query("SELECT DISTINCT lower(t || ' ' || city) AS q FROM (SELECT DISTINCT city FROM territories), (SELECT unnest(['жалобы', 'новости', 'форум', 'чат']) AS t)")
 def g25_query_templates(spark, d):
     cities = table(spark, d, "territories").select("city").distinct()
-    return cities.select(F.lower(F.concat_ws(" ", F.explode(F.array(*map(F.lit, ("жалобы", "новости", "форум", "чат")))), "city")).alias("q")).distinct()
+    words = cities.select("city", F.explode(F.array(*map(F.lit, ("жалобы", "новости", "форум", "чат")))).alias("t"))
+    return words.select(F.lower(F.concat_ws(" ", "t", "city")).alias("q")).distinct()
 
 
 @query("SELECT city, min(ref) AS ref_id FROM (SELECT a.city, r.ref_id AS ref FROM flexible_address_izhevsk_v1 a JOIN reference_names r ON r.kind = 'street' AND lower(a.mention.street) IN (lower(split_part(r.name, ' ', 1)), regexp_replace(lower(split_part(r.name, ' ', 1)), 'ая$', 'ой'))) GROUP BY 1")
@@ -193,11 +194,11 @@ def g27_word_forms(spark, d):
     return rows.join(forms, "form").groupBy("city").agg(F.min("ref_id").alias("ref_id"))
 
 
-@query(f"WITH g AS (SELECT avg(lon) AS mlon, avg(lat) AS mlat FROM ({_POINTS})) SELECT case_id, CASE WHEN selected.kind IS NULL THEN 'global' ELSE selected.kind END AS level, round(coalesce(selected.coordinates[1], mlon), 6) AS lon FROM flexible_address_izhevsk_v1, g")
+@query(f"WITH g AS (SELECT avg(lon) AS mlon, avg(lat) AS mlat FROM ({_POINTS})) SELECT case_id, CASE WHEN selected.kind IS NULL THEN 'global' ELSE selected.kind END AS level, round(coalesce(selected.coordinates[1], mlon), 4) AS lon FROM flexible_address_izhevsk_v1, g")
 def g28_global_fill(spark, d):
     mean = _points(spark, d).agg(F.avg("lon").alias("mlon"))
     rows = _cases(spark, d).crossJoin(F.broadcast(mean))  # the right side is one row
-    return rows.select("case_id", F.coalesce("selected.kind", F.lit("global")).alias("level"), F.round(F.coalesce(F.expr("try_element_at(selected.coordinates, 1)"), F.col("mlon")), 6).alias("lon"))
+    return rows.select("case_id", F.coalesce("selected.kind", F.lit("global")).alias("level"), F.round(F.coalesce(F.expr("try_element_at(selected.coordinates, 1)"), F.col("mlon")), 4).alias("lon"))
 
 
 @query()

@@ -61,11 +61,11 @@ def c04_within_hierarchy(spark, d):
 
 
 @query(
-    f"""SELECT message_id, round(round(CASE WHEN s <= 0.5 THEN s * 0.8 WHEN s <= 0.8 THEN 0.4 + (s - 0.5) * (0.35 / 0.3) WHEN s <= 1.0 THEN 0.75 + (s - 0.8) * (0.25 / 0.2) END, 6), 5) AS calibrated
+    f"""SELECT message_id, CAST(floor(round(CASE WHEN s <= 0.5 THEN s * 0.8 WHEN s <= 0.8 THEN 0.4 + (s - 0.5) * (0.35 / 0.3) WHEN s <= 1.0 THEN 0.75 + (s - 0.8) * (0.25 / 0.2) END, 6) * 10000 + 0.001) AS BIGINT) AS calibrated
     FROM (SELECT message_id, category.score AS s FROM ({_LATEST}))"""
 )
 def c05_calibrated(spark, d):
-    return _latest(spark, d).select("message_id", F.round(labeling.calibrate(F.col("category.score"), CURVE), 5).alias("calibrated"))
+    return _latest(spark, d).select("message_id", F.floor(labeling.calibrate(F.col("category.score"), CURVE) * 10000 + 0.001).cast("bigint").alias("calibrated"))
 
 
 @query(
