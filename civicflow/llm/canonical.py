@@ -167,7 +167,9 @@ def map_to_reference(values: DataFrame, reference: DataFrame, threshold: float =
     entries = names.select("ref_id", "kind", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(r"[\p{L}]+(?:-ва)?"), 0))).alias("word"))
     sizes = names.groupBy("kind").agg(F.count(F.lit(1)).alias("entries"))
     df = entries.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "kind")
-    idf = df.select("kind", "word", F.log(1 + F.col("entries") / F.col("df")).alias("idf"))
+    # Words for kinds of streets and states tell little even where a short list makes them rare.
+    telling = F.when(F.col("word").isin(*(k for k in _KINDS if k)), 0.2).otherwise(1.0)
+    idf = df.select("kind", "word", (telling * F.log(1 + F.col("entries") / F.col("df"))).alias("idf"))
     left = typed.select("kind", "token").distinct().mapInArrow(_typed_keys, "kind string, token string, typed string, key string, abbreviation string")
     right = idf.select("kind", "word").mapInArrow(_reference_keys, "kind string, word string, form string, key string, begin string")
     meets = (F.col("abbreviation") == "") & (F.col("begin") == "") | (F.col("abbreviation") != "") & (F.col("begin") != "") & F.expr("startswith(begin, abbreviation)")
