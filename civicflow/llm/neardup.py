@@ -32,7 +32,7 @@ from civicflow.llm.lookalike import Lookalikes
 from civicflow.session import materialize
 
 _WORD = re.compile(r"[^\W_]+")
-MISS = 0.004  # chance allowed that a light pair at the threshold shares no subset
+MISS = 0.001  # chance allowed that a light pair at the threshold shares no subset
 #: The words that most sets share take no part in subsets, so a pair's similarity on the others is lower.
 RARE_LOSS = 0.97
 COMMON = 0.1  # a word in more than this share of all sets takes no part in subsets
@@ -72,7 +72,7 @@ def word_sets(texts: DataFrame, key: str, column: str, min_words: int) -> DataFr
 def plan_join(sizes: dict[int, int], vocabulary: int, similarity: float) -> tuple[int, int, int]:
     """(boundary, subset_size, subsets) with the least expected number of rows moved."""
     total = sum(sizes.values())
-    subset_size = max(4, min(7, 5 + math.floor(math.log10(max(total, 1) / 300_000))))
+    subset_size = max(4, min(7, 5 + math.floor(math.log10(max(total, 1) / 30_000))))
     hit = (similarity * RARE_LOSS) ** subset_size
     subsets = math.ceil(math.log(MISS) / math.log(1 - hit))
     best = None
