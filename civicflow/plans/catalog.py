@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.plans import event_queries, geo_queries, label_queries, registry, spatial_queries, text_queries  # noqa: F401
+from civicflow.plans import event_queries, geo_queries, label_queries, registry, source_queries, spatial_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
