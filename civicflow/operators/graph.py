@@ -16,6 +16,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the shared folder, so the plan does not grow."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if current.isEmpty():
+        return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     state = None
     for _ in range(max_rounds):
         around = both(current)

@@ -10,6 +10,7 @@ from civicflow.functions import geodesy
 from civicflow.operators import dedup, events, scoring
 from civicflow.plans.label_queries import _LATEST, _latest
 from civicflow.plans.registry import query
+from civicflow.session import materialize
 from civicflow.sources.pages import access_wall
 from civicflow.sources.tables import table
 
@@ -225,7 +226,7 @@ def pipeline_events(spark, d) -> DataFrame:
     classes = _latest(spark, d).where("included_for_analysis").select("message_id", F.col("category.label").alias("category"), F.col("topic.label").alias("topic"))
     cases = table(spark, d, "flexible_address_izhevsk_v1").where("included_for_analysis AND message_id IS NOT NULL")
     places = cases.groupBy("message_id").agg(F.min(F.struct("case_id", F.col("city"), F.col("mention.street").alias("street"), F.col("selected.candidate_id").alias("building"))).alias("p"))
-    rows = messages.join(classes, "message_id").join(places, "message_id")
+    rows = materialize(messages.join(classes, "message_id").join(places, "message_id", "left"), "classified")
     scoped = rows.select("message_id", "text", "published_at", "category", "topic", F.explode(events.scopes(F.col("p.city"), F.col("p.street"), F.col("p.building"))).alias("s"))
     scoped = scoped.select("*", "s.level", "s.object_id").drop("s").where("level <> 'global'")
     # The widest level is a theme of one year: pairs of all messages would grow without bound.
@@ -236,15 +237,16 @@ def pipeline_events(spark, d) -> DataFrame:
     vectors = events.hashing_embedding(words, "message_id")
     scope = F.concat_ws("|", "level", "object_id")
     inputs = scoped.join(vectors, "message_id").select(scope.alias("scope"), F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string")).alias("key"), "vector")
+    inputs = materialize(inputs, "event-vectors")
     found = events.clusters(inputs, events.cosine_edges(inputs, 0.3))
-    members = scoped.withColumn("key", F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string"))).join(found.select("key", "cluster"), "key")
+    members = materialize(scoped.withColumn("key", F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string"))).join(found.select("key", "cluster"), "key"), "event-members")
     return events.aggregate_events(members).select("event_id", "level", "object_id", "size", "category", "topic", "started_at", "ended_at", "message_ids")
 
 
 @query()
 def pipeline_risk_report(spark, d) -> DataFrame:
     """The whole pipeline: normalize, drop copies, join classes and places, cluster, connect, score."""
-    found = pipeline_events(spark, d)
+    found = materialize(pipeline_events(spark, d), "pipeline-events")
     members = found.select("event_id", F.explode("message_ids").alias("message_id"))
     reach = scoring.external_connectivity(members, scoring.connections(members))
     rows = found.join(reach, "event_id", "left").withColumn("connectivity", F.coalesce("connectivity", F.lit(0)))
