@@ -172,6 +172,13 @@ def normalize_texts(texts: DataFrame, key: str, column: str, bigrams: dict[str,
     return rows.mapInArrow(run, f"`{key}` {kind}, `{column}` string, form string")
 
 
+def all_forms(texts: DataFrame, key: str = "message_id", column: str = "text") -> DataFrame:
+    """(key, form): every row with its text in the one form; null texts keep null."""
+    rows = texts.select(key, column)
+    final = rows.where(F.col(column).isNull() | final_form(column)).select(key, F.col(column).alias("form"))
+    return final.unionByName(normalize_texts(rows, key, column, bigram_model(rows, column)).select(key, "form"))
+
+
 def lookalike_pairs(texts: DataFrame, key: str = "message_id", column: str = "text", min_words: int = 12) -> DataFrame:
     """Pairs of rows whose texts look the same and differ in their characters.
 

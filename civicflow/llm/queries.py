@@ -59,6 +59,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "messages"))
 
 
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.all_forms(table(spark, d, "messages"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, d, "documents"))
 
@@ -83,6 +87,10 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_degrees(table(spark, d, "messages"))
 
 
+def p10_mappings(spark: SparkSession, d: str) -> DataFrame:
+    return garble.learned_mappings(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 

@@ -50,6 +50,8 @@ def test_lookalike_pairs(spark):
     got = {tuple(r) for r in lookalike.lookalike_pairs(frame).collect()}
     assert got == {(1, 2), (2, 3), (1, 9), (3, 9), (2, 9), (9, 10), (1, 10), (3, 10)}
     assert lookalike.lookalike_pairs(frame.limit(0)).count() == 0
+    forms = {r.message_id: r.form for r in lookalike.all_forms(frame).collect()}
+    assert len(forms) == 10 and forms[2] == forms[1] == BASE and forms[5] is None and forms[6] == "" and forms[7] == "дом"
 
 
 def edited(rng: random.Random, words: list[str], n: int) -> list[str]:
