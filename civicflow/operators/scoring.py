@@ -58,7 +58,7 @@ def score(indicators: dict[str, Column], weights: dict[str, float] | None = None
     out = F.lit(0.0)
     for name, raw in indicators.items():
         out = out + normalized(raw, name) * (weights[name] / total)
-    return F.round(out, 6)
+    return out
 
 
 def band(value: Column) -> Column:

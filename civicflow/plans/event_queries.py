@@ -15,15 +15,15 @@ from civicflow.sources.pages import access_wall
 from civicflow.sources.tables import table
 
 _STOPS = ", ".join(f"'{w}'" for w in events.STOP_WORDS)
-_MEMBERS = "SELECT 'd' || event_type || CAST(CAST(ts AS DATE) AS VARCHAR) AS event_id, event_id AS message_id, ts FROM events UNION ALL SELECT 'u' || user_id, event_id, ts FROM events"
+_MEMBERS = "SELECT 'd' || event_type || strftime(ts, '%Y-%m-%d-%H') AS event_id, event_id AS message_id, ts FROM events UNION ALL SELECT 'u' || user_id || strftime(ts, '-%Y-%m-%d'), event_id, ts FROM events"
 _EDGES = f"WITH m AS ({_MEMBERS}), s AS (SELECT event_id, count(*) AS n FROM m GROUP BY 1), e AS (SELECT a.event_id AS source_event_id, b.event_id AS target_event_id, count(*) AS shared FROM m a JOIN m b ON a.message_id = b.message_id AND a.event_id < b.event_id GROUP BY ALL)"
 _REACHED = "r AS (SELECT source_event_id AS event_id, target_event_id AS n FROM e UNION ALL SELECT target_event_id, source_event_id FROM e), x AS (SELECT DISTINCT r.event_id, m.message_id FROM r JOIN m ON m.event_id = r.n), c AS (SELECT x.event_id, count(*) AS connectivity FROM x ANTI JOIN m ON x.event_id = m.event_id AND x.message_id = m.message_id GROUP BY 1)"
 
 
 def _members(spark, d) -> DataFrame:
     e = table(spark, d, "events")
-    day = e.select(F.concat(F.lit("d"), "event_type", F.to_date("ts").cast("string")).alias("event_id"), F.col("event_id").alias("message_id"), "ts")
-    return day.unionByName(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("event_id"), F.col("event_id").alias("message_id"), "ts"))
+    day = e.select(F.concat(F.lit("d"), "event_type", F.date_format("ts", "yyyy-MM-dd-HH")).alias("event_id"), F.col("event_id").alias("message_id"), "ts")
+    return day.unionByName(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.date_format("ts", "-yyyy-MM-dd")).alias("event_id"), F.col("event_id").alias("message_id"), "ts"))
 
 
 _SCOPED = """SELECT c.case_id, s.level, s.object_id FROM flexible_address_izhevsk_v1 c, (VALUES ('global'), ('road'), ('building')) l(level),
@@ -190,16 +190,16 @@ def r10_external_connectivity(spark, d):
 
 
 def _risks(spark, d) -> DataFrame:
-    m = _members(spark, d)
+    m = materialize(_members(spark, d), "event-members")
     base = m.groupBy("event_id").agg(F.countDistinct("message_id").alias("size"), F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("b"))
     linked = base.join(scoring.external_connectivity(m, scoring.connections(m)), "event_id", "left").withColumn("connectivity", F.coalesce("connectivity", F.lit(0)))
     linked = linked.withColumn("spread", F.when(F.col("event_id").startswith("d"), F.col("size") * 10.0))
     value = scoring.score({"intensity": F.col("size"), "persistence": scoring.duration_hours(F.col("a"), F.col("b")), "connectivity": F.col("connectivity"), "spatial_spread": F.col("spread")})
-    return linked.select("event_id", value.alias("score")).select("event_id", "score", scoring.band(F.col("score")).alias("band"))
+    return linked.select("event_id", F.round(value + 1e-9, 6).alias("score")).select("event_id", "score", scoring.band(F.col("score")).alias("band"))
 
 
 _RISK = f"""{_EDGES}, {_REACHED}, b AS (SELECT event_id, count(DISTINCT message_id) AS size, floor(epoch(max(ts))) - floor(epoch(min(ts))) AS dur FROM m GROUP BY 1),
-k AS (SELECT event_id, round(0.25 * least(1.0, size / 20.0) + 0.25 * least(1.0, dur / 3600.0 / 168.0) + 0.25 * least(1.0, coalesce(connectivity, 0) / 20.0) + 0.25 * least(1.0, CASE WHEN starts_with(event_id, 'd') THEN size * 10.0 END / 2000.0), 6) AS score, CASE WHEN starts_with(event_id, 'd') THEN 1 END AS known FROM b LEFT JOIN c USING (event_id)),
+k AS (SELECT event_id, round(1e-9 + 0.25 * least(1.0, size / 20.0) + 0.25 * least(1.0, dur / 3600.0 / 168.0) + 0.25 * least(1.0, coalesce(connectivity, 0) / 20.0) + 0.25 * least(1.0, CASE WHEN starts_with(event_id, 'd') THEN size * 10.0 END / 2000.0), 6) AS score, CASE WHEN starts_with(event_id, 'd') THEN 1 END AS known FROM b LEFT JOIN c USING (event_id)),
 z AS (SELECT event_id, CASE WHEN known = 1 THEN score END AS score FROM k)"""
 _BAND = "CASE WHEN score IS NULL THEN 'unavailable' WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.25 THEN 'medium' ELSE 'low' END"
 
@@ -251,7 +251,7 @@ def pipeline_risk_report(spark, d) -> DataFrame:
     reach = scoring.external_connectivity(members, scoring.connections(members))
     rows = found.join(reach, "event_id", "left").withColumn("connectivity", F.coalesce("connectivity", F.lit(0)))
     value = scoring.score({"intensity": F.col("size"), "persistence": scoring.duration_hours(F.col("started_at"), F.col("ended_at")), "connectivity": F.col("connectivity")}, {"intensity": 1 / 3, "persistence": 1 / 3, "connectivity": 1 / 3})
-    return rows.select("event_id", "level", "object_id", "size", "category", "topic", value.alias("score")).withColumn("band", scoring.band(F.col("score")))
+    return rows.select("event_id", "level", "object_id", "size", "category", "topic", F.round(value, 6).alias("score")).withColumn("band", scoring.band(F.col("score")))
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS DECIMAL(18, 2)))::DOUBLE AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL")
