@@ -43,7 +43,8 @@ def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFra
     """(title, link, description, published) of RSS items or Atom entries."""
     schema = "title string, link string, description string, summary string, pubDate string, updated string"
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
-    return rows.select("title", "link", F.coalesce("description", "summary").alias("description"), F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("updated")).alias("published"))
+    day = F.regexp_replace("pubDate", r"^\s*[A-Za-z]+,\s*", "")  # Spark's patterns read no names of days
+    return rows.select("title", "link", F.coalesce("description", "summary").alias("description"), F.coalesce(F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("updated")).alias("published"))
 
 
 def flatten_collections(results: DataFrame) -> DataFrame:
