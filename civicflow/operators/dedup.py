@@ -83,6 +83,8 @@ def greedy_verdicts(rows: DataFrame, edges: DataFrame, max_rounds: int = 200) ->
         fresh = known.where("hit OR settled").select(F.col("late").alias("node"), (~F.col("hit")).alias("kept"))
         state = materialize(state.unionByName(fresh), "near-state")
         left = late.join(state, "node", "left_anti").count()
+    if left:
+        raise RuntimeError(f"{left} rows are not settled after {max_rounds} rounds")
     leaders = oriented.join(state.where("kept").select(F.col("node").alias("early")), "early").groupBy(F.col("late").alias("node")).agg(
         F.min_by("early", F.struct(-F.col("similarity"), "place")).alias("leader")
     )
@@ -92,6 +94,85 @@ def greedy_verdicts(rows: DataFrame, edges: DataFrame, max_rounds: int = 200) ->
     return out.select(F.col("node").alias("message_id"), F.when(F.col("kept"), F.col("node")).otherwise(F.col("leader")).alias("first_id"), kind.alias("kind"), F.col("kept").alias("included"))
 
 
+def ladder_verdicts(rows: DataFrame) -> DataFrame:
+    """(message_id, first_id, step, similarity, kind, included) of every row by the whole ladder.
+
+    rows: message_id, source, external_id, url, model_text, published_at, rejected. In canonical order (time, nulls last,
+    source, external_id, id) a row is compared with the earlier *included* rows: same identity, else same
+    canonical url, else same model text, else the most similar near-duplicate (the earliest on a tie). It is
+    a repeated appeal (included) if the source is the same, the identity is not and it comes a day later or
+    says so; else a repost or a technical duplicate. Rejected rows take no part and get the kind rejected.
+
+    Rounds on tables settle the order, as no more than the first included and the first open row of an
+    identity, url or text matters to later rows. The first open row can always be settled, so the rounds end
+    by themselves; the copies of one text are settled together unless one of them is included."""
+    never = F.lit(2**62)
+    place = F.struct(
+        F.coalesce(F.unix_micros("published_at"), never).alias("t"), F.coalesce(F.lower("source"), F.lit("")).alias("s"), F.coalesce("external_id", F.lit("")).alias("e"), F.col("message_id").alias("i")
+    )
+    alone = F.concat(F.lit("#"), F.col("message_id").cast("string"))
+    live = rows.where("NOT rejected").select(
+        place.alias("p"), F.coalesce(T.identity_digest(F.col("source"), F.col("external_id")), alone).alias("k_identity"), F.coalesce(F.sha2(T.canonical_url(F.col("url")), 256), alone).alias("k_url"),
+        F.sha2("model_text", 256).alias("k_text"), T.has_recurrence_marker(F.col("model_text")).alias("again"), "model_text",
+    )
+    live = materialize(live, "ladder-rows")
+    texts = live.select(F.col("p.i").alias("message_id"), F.col("model_text").alias("text"))
+    digests = live.select(F.col("p.i").alias("i"), F.col("k_text").alias("k"))
+    near = near_duplicate_edges(texts).join(digests.select(F.col("i").alias("a"), F.col("k").alias("ka")), "a").join(digests.select(F.col("i").alias("b"), F.col("k").alias("kb")), "b")
+    near = materialize(near.select("similarity", F.explode(F.array(F.struct(F.col("ka").alias("x"), F.col("kb").alias("y")), F.struct(F.col("kb").alias("x"), F.col("ka").alias("y")))).alias("e")).select("e.x", "e.y", "similarity"), "ladder-edges")
+    nothing = F.lit(None).cast("struct<t:bigint,s:string,e:string,i:bigint>")
+    state = materialize(
+        live.drop("model_text").withColumns({"kept": F.lit(None).cast("boolean"), "leader": nothing, "step": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")}), "ladder-state"
+    )
+    left = state.count()
+    while left:
+        open_rows = state.where("kept IS NULL")
+        fronts = {
+            k: state.groupBy(k).agg(F.min(F.when(F.col("kept"), F.col("p"))).alias(f"f_{k}"), F.min(F.when(F.col("kept").isNull(), F.col("p"))).alias(f"o_{k}")) for k in ("k_identity", "k_url", "k_text")
+        }
+        before = lambda k: F.coalesce(F.col(f"f_{k}") < F.col("p"), F.lit(False))
+        # An open row before the first included one may still come first itself.
+        led = lambda k: before(k) & (F.col(f"o_{k}").isNull() | (F.col(f"o_{k}") > F.col(f"f_{k}")))
+        none = lambda k: ~before(k) & (F.col(f"o_{k}").isNull() | (F.col(f"o_{k}") >= F.col("p")))
+        alike = open_rows.select("p", F.col("k_text").alias("x")).join(near, "x").join(fronts["k_text"].withColumnRenamed("k_text", "y"), "y")
+        alike = alike.groupBy(F.col("p.i").alias("i")).agg(
+            F.bool_and(led("k_text") | none("k_text")).alias("near_known"), F.min(F.when(led("k_text"), F.struct((-F.col("similarity")).alias("d"), F.col("f_k_text").alias("f")))).alias("best")
+        )
+        x = open_rows.drop("leader", "step", "similarity", "kept")
+        for k, front in fronts.items():
+            x = x.join(front, k)
+        x = x.join(alike, F.col("p.i") == F.col("i"), "left").withColumn("near_known", F.coalesce("near_known", F.lit(True)))
+        exact = F.when(led("k_identity"), "identity").when(none("k_identity") & led("k_url"), "url").when(none("k_identity") & none("k_url") & led("k_text"), "text")
+        x = x.withColumn("exact", exact)
+        # Ready, if no open copy of the text before it gets included.
+        ready = F.col("exact").isNotNull() | (none("k_identity") & none("k_url") & ~before("k_text") & F.col("near_known"))
+        x = x.withColumn("ready", ready).withColumn("step", F.coalesce("exact", F.when(F.col("best").isNotNull(), "near"))).withColumn(
+            "leader", F.when(F.col("exact") == "identity", F.col("f_k_identity")).when(F.col("exact") == "url", F.col("f_k_url")).when(F.col("exact") == "text", F.col("f_k_text")).otherwise(F.col("best.f"))
+        )
+        x = x.withColumn("similarity", F.when(F.col("exact").isNotNull(), 1.0).otherwise(-F.col("best.d"))).withColumn("kept", F.col("leader").isNull() | _repeated())
+        earlier = Window.partitionBy("k_text").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        x = x.withColumn("blocked", F.coalesce(F.max(~F.col("ready") | F.col("kept")).over(earlier), F.lit(False)))
+        done = F.col("exact").isNotNull() | (F.col("ready") & ~F.col("blocked"))
+        fresh = x.select(*[c for c in state.columns if c not in ("kept", "leader", "step", "similarity")], *[F.when(done, F.col(c)).alias(c) for c in ("kept", "leader", "step", "similarity")])
+        state = materialize(state.where("kept IS NOT NULL").unionByName(fresh), "ladder-state")
+        last, left = left, state.where("kept IS NULL").count()
+        if left == last:
+            raise RuntimeError(f"{left} rows cannot be settled")
+    kind = F.when(F.col("leader").isNull(), "unique").when(F.col("kept"), "repeated_appeal").when(F.col("leader.s") != F.col("p.s"), "cross_source_repost").otherwise("technical_duplicate")
+    out = state.select(F.col("p.i").alias("message_id"), F.coalesce("leader.i", "p.i").alias("first_id"), "step", "similarity", kind.alias("kind"), F.col("kept").alias("included"))
+    rejected = rows.where("rejected").select(
+        "message_id", F.col("message_id").alias("first_id"), F.lit(None).cast("string").alias("step"), F.lit(None).cast("double").alias("similarity"), F.lit("rejected").alias("kind"), F.lit(False).alias("included")
+    )
+    return out.unionByName(rejected)
+
+
+def _repeated():
+    """Whether the row at ``p`` repeats the appeal of its ``leader``."""
+    known = (F.col("p.t") != F.lit(2**62)) & (F.col("leader.t") != F.lit(2**62))
+    late = known & (F.col("p.t") - F.col("leader.t") >= REPEAT_AFTER_S * 1_000_000)
+    return (F.col("p.s") == F.col("leader.s")) & (F.col("p.e") != F.col("leader.e")) & (F.col("again") | late)
+
+
 def verdict_counts(verdicts: DataFrame) -> DataFrame:
     kinds = ("unique", "repeated_appeal", "cross_source_repost", "technical_duplicate")
     return verdicts.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("kind") == k).alias(k) for k in kinds), F.count_if("included").alias("included"))

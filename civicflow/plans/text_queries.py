@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civicflow.functions import text as T
 from civicflow.operators import dedup, normalize
 from civicflow.plans.registry import query
+from civicflow.session import materialize
 from civicflow.sources.tables import table
 
 _LINES = ", ".join(f"'{x}'" for x in T.TECHNICAL_LINES)
@@ -204,10 +205,16 @@ def d03_near_duplicate_edges(spark, d):
     return dedup.near_duplicate_edges(_messages(spark, d))
 
 
+def prepared_messages(spark, d) -> DataFrame:
+    """Messages with their model text, as the ladder reads them."""
+    rows = _messages(spark, d)
+    texts = normalize.preprocess(rows).select("message_id", "model_text", (F.size("rejection_reasons") > 0).alias("rejected"))
+    return materialize(rows.select("message_id", "source", "external_id", "url", "published_at").join(texts, "message_id"), "prepared")
+
+
 @query()
 def d02_greedy_verdicts(spark, d):
-    rows = _messages(spark, d)
-    return dedup.greedy_verdicts(rows, dedup.near_duplicate_edges(rows))
+    return dedup.ladder_verdicts(prepared_messages(spark, d))
 
 
 @query(f"{_EXACT} SELECT source, kind, count(*) AS n FROM v GROUP BY ALL")

@@ -112,3 +112,54 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {n: find(n) for n in root}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def brute_ladder(rows, near):
+    """The sequential ladder; rows: (id, source, external_id, url, text, seconds, again)."""
+    order = sorted(rows, key=lambda r: (2**62 if r[5] is None else r[5], r[1], r[2], r[0]))
+    kept, out = [], {}
+    for r in order:
+        best, step = None, None
+        for name, k in (("identity", lambda x: (x[1], x[2])), ("url", lambda x: x[3]), ("text", lambda x: x[4])):
+            best = next((x for x in kept if k(x) is not None and k(x) == k(r)), None)
+            if best:
+                step = name
+                break
+        if not best:
+            found = [(-near[r[4], x[4]], n, x) for n, x in enumerate(kept) if (r[4], x[4]) in near]
+            best, step = (min(found)[2], "near") if found else (None, None)
+        repeated = best and best[1] == r[1] and best[2] != r[2] and (r[6] or r[5] is not None and best[5] is not None and r[5] - best[5] >= 86400)
+        kind = "unique" if not best else "repeated_appeal" if repeated else "cross_source_repost" if best[1] != r[1] else "technical_duplicate"
+        if kind in ("unique", "repeated_appeal"):
+            kept.append(r)
+        out[r[0]] = (best[0] if best else r[0], step, kind)
+    return out
+
+
+def test_ladder_equals_the_sequential_one_and_has_every_message(spark):
+    rng = random.Random(11)
+    base = [" ".join(rng.sample([f"слово{k}" for k in range(300)], 40)) for _ in range(6)]
+    texts = [b + tail for b in base for tail in ("", "!", " ещё")]
+    texts += [f"снова {base[0]}", f"{base[1]}?"]
+    rows = []
+    for n in range(160):
+        text = rng.choice(texts)
+        rows.append((n, rng.choice("ab"), str(rng.randrange(90)), rng.choice([None, None, None, f"https://x.ru/{rng.randrange(40)}"]), text, rng.choice([None, rng.randrange(0, 400_000, 1000)]), text.startswith("снова")))
+    frame = spark.createDataFrame([(*r[:6], False) for r in rows] + [(999, "a", "z", None, "", None, True)], "message_id bigint, source string, external_id string, url string, model_text string, s bigint, rejected boolean")
+    frame = frame.withColumn("published_at", F.timestamp_seconds("s"))
+    ids = {t: min(r[0] for r in rows if r[4] == t) for t in {r[4] for r in rows}}
+    by_id = {v: k for k, v in ids.items()}
+    near = {}
+    for e in dedup.near_duplicate_edges(frame.where("NOT rejected").select("message_id", F.col("model_text").alias("text"))).collect():
+        near[by_id[e.a], by_id[e.b]] = near[by_id[e.b], by_id[e.a]] = e.similarity
+    got = {r.message_id: (r.first_id, r.step, r.kind) for r in dedup.ladder_verdicts(frame).collect()}
+    want = brute_ladder(rows, near) | {999: (999, None, "rejected")}
+    assert near and {k for _, _, k in want.values()} >= {"repeated_appeal", "cross_source_repost", "technical_duplicate"} and {s for _, s, _ in want.values()} >= {"identity", "url", "text", "near"}
+    assert got == want
+
+
+def test_greedy_rounds_that_do_not_settle_raise(spark):
+    rows = spark.createDataFrame([(i, "s", str(i), "t", None, None) for i in range(6)], MESSAGES)
+    chain = spark.createDataFrame([(i, i + 1, 0.9) for i in range(5)], "a bigint, b bigint, similarity double")
+    with pytest.raises(RuntimeError, match="not settled"):
+        dedup.greedy_verdicts(rows, chain, max_rounds=1)
