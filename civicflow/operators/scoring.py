@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicflow.session import materialize
+
 # What counts as one whole for each indicator, and where the bands begin.
 REFERENCES = {"intensity": 20.0, "persistence": 168.0, "connectivity": 20.0, "spatial_spread": 2000.0}
 MEDIUM, HIGH, CRITICAL = 0.25, 0.50, 0.75
+LARGE_PER_BITMAP = 64  # messages a bitmap from which bitmaps move less than rows
 
 
 def connections(members: DataFrame) -> DataFrame:
@@ -36,14 +39,46 @@ def duration_hours(start: Column, end: Column) -> Column:
     return (F.unix_timestamp(end) - F.unix_timestamp(start)) / 3600.0
 
 
+def _numbered(ids: DataFrame) -> DataFrame:
+    """(message_id, bucket, bit): the different ids numbered without gaps, as places in bitmaps."""
+    spread = materialize(ids.distinct().withColumn("_k", F.monotonically_increasing_id()), "message-numbers")
+    low = F.col("_k").bitwiseAND(F.lit(2**33 - 1))
+    before, offsets = 1, []
+    for r in spread.groupBy(F.shiftright("_k", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # a row a partition
+        offsets.append((r.p, before))
+        before += r.n
+    table = spread.sparkSession.createDataFrame(offsets, "_p bigint, _o bigint")
+    number = F.col("_o") + low
+    return spread.join(F.broadcast(table), F.shiftright("_k", 33) == F.col("_p")).select("message_id", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
+
+
 def external_connectivity(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(event_id, connectivity): distinct messages of an event's neighbours that it has not itself."""
+    """(event_id, connectivity): distinct messages of an event's neighbours that it has not itself.
+
+    A large neighbour comes as bitmaps of its messages, 4 KB for 32,768 of them, so a wide event that
+    touches all others costs no row a message and neighbour; small ones are reached by rows."""
     rows = members.select("event_id", "message_id").distinct()
     both = edges.select(F.col("source_event_id").alias("event_id"), F.col("target_event_id").alias("n")).unionByName(
         edges.select(F.col("target_event_id").alias("event_id"), F.col("source_event_id").alias("n"))
     )
-    reached = both.join(rows.select(F.col("event_id").alias("n"), "message_id"), "n").select("event_id", "message_id").distinct()
-    return reached.join(rows, ["event_id", "message_id"], "left_anti").groupBy("event_id").agg(F.count(F.lit(1)).alias("connectivity"))
+    both = materialize(both, "event-neighbours")
+    own = materialize(rows.join(_numbered(rows.select("message_id")), "message_id").select("event_id", "bucket", "bit"), "event-bits")
+    sizes = own.groupBy("event_id").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("bucket").alias("buckets"))
+    sizes = materialize(sizes.withColumn("large", F.col("size") >= LARGE_PER_BITMAP * F.col("buckets")), "event-sizes")
+    large = sizes.where("large").select(F.col("event_id").alias("n"))
+    wide = both.join(large, "n", "left_semi").select("event_id").distinct()
+
+    plain = both.join(wide, "event_id", "left_anti").join(own.withColumnRenamed("event_id", "n"), "n").select("event_id", "bucket", "bit").distinct()
+    by_rows = plain.join(own, ["event_id", "bucket", "bit"], "left_anti").groupBy("event_id").agg(F.count(F.lit(1)).alias("connectivity"))
+
+    # Of an event with a large neighbour: the size of the union of its neighbours and itself, less its own.
+    reach = both.join(wide, "event_id", "left_semi").unionByName(wide.select("event_id", F.col("event_id").alias("n")))
+    held = own.withColumnRenamed("event_id", "n")
+    maps = held.join(large, "n", "left_semi").groupBy("n", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    few = reach.join(held.join(large, "n", "left_anti"), "n").groupBy("event_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    all_bits = reach.join(maps, "n").select("event_id", "bucket", "bits").unionByName(few).groupBy("event_id", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("c"))
+    by_bits = all_bits.groupBy("event_id").agg(F.sum("c").alias("c")).join(sizes, "event_id").select("event_id", (F.col("c") - F.col("size")).alias("connectivity"))
+    return by_rows.unionByName(by_bits.where("connectivity > 0"))
 
 
 def normalized(raw: Column, name: str) -> Column:

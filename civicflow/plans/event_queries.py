@@ -20,6 +20,17 @@ _EDGES = f"WITH m AS ({_MEMBERS}), s AS (SELECT event_id, count(*) AS n FROM m G
 _REACHED = "r AS (SELECT source_event_id AS event_id, target_event_id AS n FROM e UNION ALL SELECT target_event_id, source_event_id FROM e), x AS (SELECT DISTINCT r.event_id, m.message_id FROM r JOIN m ON m.event_id = r.n), c AS (SELECT x.event_id, count(*) AS connectivity FROM x ANTI JOIN m ON x.event_id = m.event_id AND x.message_id = m.message_id GROUP BY 1)"
 
 
+#: As SURVEY asks: an event is a type on a day, or a user.
+_WIDE_MEMBERS = "SELECT 'd' || event_type || CAST(CAST(ts AS DATE) AS VARCHAR) AS event_id, event_id AS message_id, ts FROM events UNION ALL SELECT 'u' || user_id, event_id, ts FROM events"
+_WIDE_EDGES = _EDGES.replace(_MEMBERS, _WIDE_MEMBERS)
+
+
+def _wide_members(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    day = e.select(F.concat(F.lit("d"), "event_type", F.to_date("ts").cast("string")).alias("event_id"), F.col("event_id").alias("message_id"), "ts")
+    return day.unionByName(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("event_id"), F.col("event_id").alias("message_id"), "ts"))
+
+
 def _members(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     day = e.select(F.concat(F.lit("d"), "event_type", F.date_format("ts", "yyyy-MM-dd-HH")).alias("event_id"), F.col("event_id").alias("message_id"), "ts")
@@ -146,6 +157,11 @@ def r01_event_connections(spark, d):
     return scoring.connections(_members(spark, d))
 
 
+@query(f"{_WIDE_EDGES} SELECT source_event_id, target_event_id, shared, round(shared / CAST(sa.n + sb.n - shared AS DOUBLE), 6) AS jaccard FROM e JOIN s sa ON sa.event_id = source_event_id JOIN s sb ON sb.event_id = target_event_id")
+def r01_event_connections_wide(spark, d):
+    return scoring.connections(_wide_members(spark, d))
+
+
 @query(
     """WITH i AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'click' GROUP BY 1), j AS (SELECT user_id, min(ts) AS c, max(ts) AS d FROM events WHERE event_type = 'error' GROUP BY 1)
     SELECT user_id, round(greatest(0.0, (floor(epoch(c)) - floor(epoch(b))) / 3600.0, (floor(epoch(a)) - floor(epoch(d))) / 3600.0), 6) AS gap, round((floor(epoch(b)) - floor(epoch(a))) / 3600.0, 6) AS duration FROM i JOIN j USING (user_id)"""
@@ -189,8 +205,14 @@ def r10_external_connectivity(spark, d):
     return scoring.external_connectivity(m, scoring.connections(m))
 
 
-def _risks(spark, d) -> DataFrame:
-    m = materialize(_members(spark, d), "event-members")
+@query(f"{_WIDE_EDGES}, {_REACHED} SELECT event_id, connectivity FROM c")
+def r10_external_connectivity_wide(spark, d):
+    m = _wide_members(spark, d)
+    return scoring.external_connectivity(m, scoring.connections(m))
+
+
+def _risks(members: DataFrame) -> DataFrame:
+    m = materialize(members, "event-members")
     base = m.groupBy("event_id").agg(F.countDistinct("message_id").alias("size"), F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("b"))
     linked = base.join(scoring.external_connectivity(m, scoring.connections(m)), "event_id", "left").withColumn("connectivity", F.coalesce("connectivity", F.lit(0)))
     linked = linked.withColumn("spread", F.when(F.col("event_id").startswith("d"), F.col("size") * 10.0))
@@ -206,12 +228,25 @@ _BAND = "CASE WHEN score IS NULL THEN 'unavailable' WHEN score >= 0.75 THEN 'cri
 
 @query(f"{_RISK} SELECT event_id, score, {_BAND} AS band FROM z")
 def r13_risk_scores(spark, d):
-    return _risks(spark, d)
+    return _risks(_members(spark, d))
 
 
 @query(f"{_RISK} SELECT {_BAND} AS band, count(*) AS n FROM z GROUP BY 1")
 def r15_risk_stats(spark, d):
-    return _risks(spark, d).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    return _risks(_members(spark, d)).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WIDE_RISK = _RISK.replace(_EDGES, _WIDE_EDGES)
+
+
+@query(f"{_WIDE_RISK} SELECT event_id, score, {_BAND} AS band FROM z")
+def r13_risk_scores_wide(spark, d):
+    return _risks(_wide_members(spark, d))
+
+
+@query(f"{_WIDE_RISK} SELECT {_BAND} AS band, count(*) AS n FROM z GROUP BY 1")
+def r15_risk_stats_wide(spark, d):
+    return _risks(_wide_members(spark, d)).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

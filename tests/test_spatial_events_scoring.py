@@ -115,3 +115,17 @@ def test_pages_and_paged_reads(spark, tmp_path):
     spark.dataSource.register(pages.PagedJson)
     rows = spark.read.format("paged_json").option("path", str(tmp_path)).load().collect()
     assert [(r.source, r.external_id, r.url) for r in rows] == [("s", "1", None)]
+
+
+@pytest.mark.parametrize("per_bitmap", [1, 64, 10**9])
+def test_connectivity_of_large_events_equals_brute_force(spark, monkeypatch, per_bitmap):
+    monkeypatch.setattr(scoring, "LARGE_PER_BITMAP", per_bitmap)
+    rng = random.Random(4)
+    held = {"wide": {f"m{k}" for k in range(400)}, "alone": {"z"}} | {f"e{n}": {f"m{rng.randrange(600)}" for _ in range(rng.randrange(1, 9))} for n in range(80)}
+    m = spark.createDataFrame([(e, i) for e, ids in held.items() for i in ids], "event_id string, message_id string")
+    want = {}
+    for e, ids in held.items():
+        reached = set().union(*(other for o, other in held.items() if o != e and other & ids)) - ids
+        if reached:
+            want[e] = len(reached)
+    assert {r.event_id: r.connectivity for r in scoring.external_connectivity(m, scoring.connections(m)).collect()} == want
