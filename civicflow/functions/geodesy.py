@@ -52,6 +52,13 @@ def geodesic_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Serie
     return pd.Series(geodesic(lon1, lat1, lon2, lat2)[0]).where(lon1.notna() & lat1.notna() & lon2.notna() & lat2.notna())
 
 
+@pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+def local_point(lon0: pd.Series, lat0: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
+    """Metres east and north of a centre, at the true distance and azimuth from it."""
+    distance, azimuth = geodesic(lon0, lat0, lon, lat)
+    return pd.DataFrame({"x": distance * np.sin(np.radians(azimuth)), "y": distance * np.cos(np.radians(azimuth))})
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """EPSG code of the UTM zone of a point; Web Mercator beyond its latitudes."""
     zone = F.least(F.floor((lon + 180) / 6) + 1, F.lit(60))

@@ -18,13 +18,15 @@ STOP_WORDS = (
 ).split()
 
 
-def scopes(city: Column, street: Column, building: Column) -> Column:
-    """Map of level to object: always global; road and building where they are known."""
+def scopes(city: Column, street: Column, building: Column, link: Column | None = None) -> Column:
+    """Map of level to object: always global; road, link and building where they are known."""
     road = F.when(city.isNotNull() & street.isNotNull(), F.concat(F.lit("road:"), F.lower(city), F.lit(":"), F.lower(street)))
     levels = F.array(
         F.struct(F.lit("global").alias("level"), F.lit("global").alias("object_id")), F.struct(F.lit("road").alias("level"), road.alias("object_id")),
         F.struct(F.lit("building").alias("level"), building.alias("object_id")),
     )
+    if link is not None:
+        levels = F.concat(levels, F.array(F.struct(F.lit("link").alias("level"), F.concat(F.lit("link:"), F.lower(link)).alias("object_id"))))
     return F.filter(levels, lambda s: s["object_id"].isNotNull())
 
 
@@ -51,11 +53,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
 
 
-def cosine_edges(vectors: DataFrame, threshold: float = COSINE, block: int = 4096) -> DataFrame:
+def _forest(n: int, chunks) -> np.ndarray:
+    """Least row of each row's component, from chunks of edges (i, j) between n rows."""
+    parent = np.arange(n)
+    for i, j in chunks:
+        while True:
+            a, b = parent[i], parent[j]
+            live = a != b
+            if not live.any():
+                break
+            np.minimum.at(parent, np.maximum(a, b)[live], np.minimum(a, b)[live])
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+    return parent
+
+
+def cosine_edges(vectors: DataFrame, threshold: float = COSINE, block: int = 4096, forest: bool = False) -> DataFrame:
     """(scope, a, b) of vectors of one scope with at least a cosine, a < b; every pair is compared.
 
     A scope is cut into blocks of rows by a hash of the key, and each task compares two blocks with one
-    matrix product, so a large scope spreads over tasks and no task holds more than two blocks."""
+    matrix product, so a large scope spreads over tasks and no task holds more than two blocks. With
+    ``forest`` each task gives only edges that join what its edges join: the components are the same, and
+    a block of alike texts gives a row a text instead of a row a pair."""
     sizes = vectors.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("parts"))
     rows = vectors.join(sizes, "scope").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     left = rows.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("scope", F.col("part").alias("p"), F.col("other").alias("q"), "key", "vector", F.lit(0).alias("side"))
@@ -68,6 +87,15 @@ def cosine_edges(vectors: DataFrame, threshold: float = COSINE, block: int = 409
         b = a if one else b
         if not len(a) or not len(b):
             return pd.DataFrame({"scope": [], "a": [], "b": []})
+        if forest:
+            u, v, step = unit(a), unit(b), 512
+            hits = (np.nonzero(u[k : k + step] @ v.T >= threshold - 1e-12) for k in range(0, len(u), step))
+            shift = 0 if one else len(a)
+            root = _forest(shift + len(b), ((i + n * step, j + shift) for n, (i, j) in enumerate(hits)))
+            keys = a.key.to_numpy() if one else np.concatenate([a.key.to_numpy(), b.key.to_numpy()])
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            x, y = keys[moved], keys[root[moved]]
+            return pd.DataFrame({"scope": frame.scope.iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y)})
         i, j = np.nonzero(unit(a) @ unit(b).T >= threshold - 1e-12)
         x, y = a.key.to_numpy()[i], b.key.to_numpy()[j]
         keep = x < y if one else np.ones(len(x), bool)

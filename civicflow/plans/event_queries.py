@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import geodesy
@@ -10,10 +10,12 @@ from civicflow.functions import geodesy
 from civicflow.operators import dedup, events, scoring
 from civicflow.plans.label_queries import _LATEST, _latest
 from civicflow.plans.registry import query
+from civicflow.plans.text_queries import prepared_messages
 from civicflow.session import materialize
 from civicflow.sources.pages import access_wall
 from civicflow.sources.tables import table
 
+LOCAL_RADIUS_M = 1_500_000.0  # fixed value: beyond it a plane around the centroid is not used
 _STOPS = ", ".join(f"'{w}'" for w in events.STOP_WORDS)
 _MEMBERS = "SELECT 'd' || event_type || strftime(ts, '%Y-%m-%d-%H') AS event_id, event_id AS message_id, ts FROM events UNION ALL SELECT 'u' || user_id || strftime(ts, '-%Y-%m-%d'), event_id, ts FROM events"
 _EDGES = f"WITH m AS ({_MEMBERS}), s AS (SELECT event_id, count(*) AS n FROM m GROUP BY 1), e AS (SELECT a.event_id AS source_event_id, b.event_id AS target_event_id, count(*) AS shared FROM m a JOIN m b ON a.message_id = b.message_id AND a.event_id < b.event_id GROUP BY ALL)"
@@ -254,38 +256,62 @@ def e10_events(spark, d):
     return pipeline_events(spark, d)
 
 
+def _pipeline_places(spark, d) -> DataFrame:
+    """(message_id, level, object_id, lon, lat) of every place of a message, on each level it names; global has all."""
+    cases = table(spark, d, "flexible_address_izhevsk_v1").where("included_for_analysis AND message_id IS NOT NULL")
+    c = F.col("selected.coordinates")
+    found = cases.select("message_id", F.explode(events.scopes(F.col("city"), F.col("mention.street"), F.col("selected.candidate_id"))).alias("s"), c[0].alias("lon"), c[1].alias("lat"))
+    return found.select("message_id", "s.level", "s.object_id", "lon", "lat").distinct()
+
+
 def pipeline_events(spark, d) -> DataFrame:
-    """Usable messages with a class and a place, clustered per building by the cosine of hashed words."""
-    verdicts = dedup.exact_verdicts(table(spark, d, "messages")).where("included").select("message_id")
-    messages = table(spark, d, "messages").join(verdicts, "message_id", "left_semi").select("message_id", "text", "published_at")
+    """Prepared messages without duplicates, with a class, clustered in all their scopes by the cosine of hashed words."""
+    prepared = prepared_messages(spark, d)
+    verdicts = dedup.ladder_verdicts(prepared).where("included").select("message_id")
+    messages = prepared.join(verdicts, "message_id", "left_semi").select("message_id", F.col("model_text").alias("text"), "published_at")
     classes = _latest(spark, d).where("included_for_analysis").select("message_id", F.col("category.label").alias("category"), F.col("topic.label").alias("topic"))
-    cases = table(spark, d, "flexible_address_izhevsk_v1").where("included_for_analysis AND message_id IS NOT NULL")
-    places = cases.groupBy("message_id").agg(F.min(F.struct("case_id", F.col("city"), F.col("mention.street").alias("street"), F.col("selected.candidate_id").alias("building"))).alias("p"))
-    rows = materialize(messages.join(classes, "message_id").join(places, "message_id", "left"), "classified")
-    scoped = rows.select("message_id", "text", "published_at", "category", "topic", F.explode(events.scopes(F.col("p.city"), F.col("p.street"), F.col("p.building"))).alias("s"))
-    scoped = scoped.select("*", "s.level", "s.object_id").drop("s").where("level <> 'global'")
-    # The widest level is a theme of one year: pairs of all messages would grow without bound.
-    area = F.concat_ws(":", "topic", F.date_format("published_at", "yyyy"))
-    wide = rows.where("topic IS NOT NULL").select("message_id", "text", "published_at", "category", "topic", F.lit("area").alias("level"), area.alias("object_id"))
-    scoped = scoped.unionByName(wide)
+    rows = materialize(messages.join(classes, "message_id"), "classified")
+    scopes = _pipeline_places(spark, d).where("level <> 'global'").select("message_id", "level", "object_id").distinct()
+    scopes = scopes.unionByName(rows.select("message_id", F.lit("global").alias("level"), F.lit("global").alias("object_id")))
+    key = F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string")).alias("key")
+    scoped = rows.select("message_id", "published_at", "category", "topic").join(scopes, "message_id").select("*", key)
+    scoped = materialize(events.with_enough_messages(scoped), "scoped")
     words = rows.select("message_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(events.WORD), F.lit(0))).alias("word"))
     vectors = events.hashing_embedding(words, "message_id")
-    scope = F.concat_ws("|", "level", "object_id")
-    inputs = scoped.join(vectors, "message_id").select(scope.alias("scope"), F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string")).alias("key"), "vector")
-    inputs = materialize(inputs, "event-vectors")
-    found = events.clusters(inputs, events.cosine_edges(inputs, 0.3))
-    members = materialize(scoped.withColumn("key", F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string"))).join(found.select("key", "cluster"), "key"), "event-members")
+    inputs = materialize(scoped.join(vectors, "message_id").select(F.concat_ws("|", "level", "object_id").alias("scope"), "key", "vector"), "event-vectors")
+    edges = materialize(events.cosine_edges(inputs, block=2048, forest=True), "event-edges")
+    found = events.clusters(inputs, edges)
+    members = materialize(scoped.join(found.select("key", "cluster"), "key"), "event-members")
     return events.aggregate_events(members).select("event_id", "level", "object_id", "size", "category", "topic", "started_at", "ended_at", "message_ids")
 
 
+def event_spread(members: DataFrame, points: DataFrame) -> DataFrame:
+    """(event_id, spread): metres from the centre of an event's points to the farthest of them; no row for an
+    event with a message without a point. members: (event_id, level, object_id, message_id); points: (message_id, level, object_id, lon, lat).
+
+    The centre is the mean on the plane around the spherical centroid, or that itself if a point is beyond LOCAL_RADIUS_M."""
+    by = ["message_id", "level", "object_id"]
+    at = members.join(points.where("lon IS NOT NULL AND lat IS NOT NULL").distinct(), by, "left")
+    at = at.withColumn("whole", F.min(F.col("lon").isNotNull()).over(Window.partitionBy("event_id"))).where("whole")
+    at = materialize(at.select("event_id", "lon", "lat"), "event-points")
+    lon, lat = geodesy.spherical_centroid(F.col("lon"), F.col("lat"))
+    placed = at.join(at.groupBy("event_id").agg(lon.alias("clon"), lat.alias("clat")), "event_id")
+    placed = materialize(placed.select("event_id", geodesy.local_point("clon", "clat", "lon", "lat").alias("xy")).select("event_id", "xy.*"), "event-plane")
+    centre = placed.groupBy("event_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.max(F.hypot("x", "y")).alias("far"))
+    wide = F.first("far")
+    return placed.join(centre, "event_id").groupBy("event_id").agg(F.when(wide > LOCAL_RADIUS_M, wide).otherwise(F.max(F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")))).alias("spread"))
+
+
 @query()
 def pipeline_risk_report(spark, d) -> DataFrame:
-    """The whole pipeline: normalize, drop copies, join classes and places, cluster, connect, score."""
+    """The whole pipeline: prepare, drop duplicates by the ladder, join classes and places, cluster, connect, score."""
     found = materialize(pipeline_events(spark, d), "pipeline-events")
-    members = found.select("event_id", F.explode("message_ids").alias("message_id"))
+    placed = materialize(found.select("event_id", "level", "object_id", F.explode("message_ids").alias("message_id")), "placed-members")
+    members = placed.select("event_id", "message_id")
     reach = scoring.external_connectivity(members, scoring.connections(members))
     rows = found.join(reach, "event_id", "left").withColumn("connectivity", F.coalesce("connectivity", F.lit(0)))
-    value = scoring.score({"intensity": F.col("size"), "persistence": scoring.duration_hours(F.col("started_at"), F.col("ended_at")), "connectivity": F.col("connectivity")}, {"intensity": 1 / 3, "persistence": 1 / 3, "connectivity": 1 / 3})
+    rows = rows.join(event_spread(placed, _pipeline_places(spark, d)), "event_id", "left")
+    value = scoring.score({"intensity": F.col("size"), "persistence": scoring.duration_hours(F.col("started_at"), F.col("ended_at")), "connectivity": F.col("connectivity"), "spatial_spread": F.col("spread")})
     return rows.select("event_id", "level", "object_id", "size", "category", "topic", F.round(value, 6).alias("score")).withColumn("band", scoring.band(F.col("score")))
 
 

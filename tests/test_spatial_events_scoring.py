@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from civicflow.functions import geodesy
 from civicflow.operators import addressing, events, labeling, quality, scoring, storage
 from civicflow.operators.spatial import _distance, cell_code, cover, disc_boxes, points_in_regions, points_near_points
+from civicflow.plans import event_queries
 from civicflow.sources import pages
 
 REGIONS = "region_id bigint, lon double, lat double, radius double, geometry string"
@@ -129,3 +130,26 @@ def test_connectivity_of_large_events_equals_brute_force(spark, monkeypatch, per
         if reached:
             want[e] = len(reached)
     assert {r.event_id: r.connectivity for r in scoring.external_connectivity(m, scoring.connections(m)).collect()} == want
+
+
+def test_forest_edges_have_the_components_of_all_edges(spark):
+    rng = np.random.default_rng(6)
+    near = [(k, (rng.normal(size=64) * 0.06 + np.eye(64)[k % 9]).tolist()) for k in range(150)]
+    v = spark.createDataFrame([("s", f"k{k:03}", x) for k, x in near], "scope string, key string, vector array<double>")
+    whole, forest = events.cosine_edges(v, block=40), events.cosine_edges(v, block=40, forest=True)
+    groups = lambda e: sorted((r.key, r.cluster) for r in events.clusters(v, e).collect())
+    assert forest.count() < whole.count() and groups(forest) == groups(whole) != []
+
+
+def test_pipeline_keeps_the_global_scope_every_place_and_the_least_size(spark, monkeypatch):
+    rows = [(i, "s", str(i), None, f"{word} во дворе не горит фонарь и нет воды", i, False) for i, word in enumerate(("один", "два", "три", "четыре", "пять", "шесть"))]
+    prepared = spark.createDataFrame(rows, "message_id bigint, source string, external_id string, url string, model_text string, s bigint, rejected boolean").withColumn("published_at", F.timestamp_seconds(F.col("s") * 200_000))
+    classes = spark.createDataFrame([(i, ("ЖКХ",), ("свет",), True) for i in range(6)], "message_id bigint, category struct<label:string>, topic struct<label:string>, included_for_analysis boolean")
+    kind = "case_id bigint, message_id bigint, city string, mention struct<street:string>, selected struct<candidate_id:string,coordinates:array<double>>, included_for_analysis boolean"
+    cases = [(i, i, "Ижевск", ("Ленина",), ("b1", [53.0, 56.0]), True) for i in range(6)] + [(10 + i, i, "Ижевск", ("Мира",), (f"c{i}", [53.0 + i / 100, 56.0]), True) for i in range(6)]
+    monkeypatch.setattr(event_queries, "prepared_messages", lambda spark, d: prepared)
+    monkeypatch.setattr(event_queries, "_latest", lambda spark, d: classes)
+    monkeypatch.setattr(event_queries, "table", lambda spark, d, name: spark.createDataFrame(cases, kind))
+    got = {(r.level, r.object_id): (r.size, r.score) for r in event_queries.pipeline_risk_report(spark, "").collect()}
+    assert {k: v[0] for k, v in got.items()} == {("global", "global"): 6, ("road", "road:ижевск:ленина"): 6, ("road", "road:ижевск:мира"): 6, ("building", "b1"): 6}
+    assert all(v[1] is not None for v in got.values()) and got["road", "road:ижевск:мира"][1] > got["building", "b1"][1]
