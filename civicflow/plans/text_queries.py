@@ -58,6 +58,12 @@ def t02_compatibility_form(spark, d):
     return rows.select("message_id", normalize.compatibility_form("text").alias("text"))
 
 
+@query()
+def t02_compatibility_form_all(spark, d):
+    rows = _messages(spark, d).where("text IS NOT NULL")
+    return rows.select("message_id", normalize.compatibility_form("text").alias("text"))
+
+
 @query()
 def t07_preprocessed(spark, d):
     return normalize.preprocess(_messages(spark, d))
@@ -247,6 +253,12 @@ def d08_first_wins_cap(spark, d):
     return dedup.first_wins(rows, ["key"], ["message_id"]).orderBy("message_id").limit(250)
 
 
+@query("SELECT lower(text) AS key, min(message_id) AS message_id FROM messages WHERE text IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 250")
+def d08_first_wins_cap_all(spark, d):
+    rows = _messages(spark, d).where("text IS NOT NULL").select(F.lower("text").alias("key"), "message_id")
+    return dedup.first_wins(rows, ["key"], ["message_id"]).orderBy("message_id").limit(250)
+
+
 @query("SELECT selected.candidate_id AS candidate_id, max(selected.confidence) AS confidence FROM flexible_address_izhevsk_v1 WHERE selected.candidate_id IS NOT NULL GROUP BY 1")
 def d09_best_candidate(spark, d):
     rows = table(spark, d, "flexible_address_izhevsk_v1").where("selected.candidate_id IS NOT NULL")
