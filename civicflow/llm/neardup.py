@@ -177,12 +177,13 @@ def near_duplicate_sets(
             (F.col("x") != F.col("y")) & (F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size"))
         )
         found = found.unionByName(scans.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    # Candidates meet first on 16 bits of each word, which can only make sets look more alike (but for a
-    # word or two of one set that coincide); the few that pass are verified on the whole words.
-    brief = sets.select("set_id", F.expr("transform(words, w -> cast((w & 65535) - 32768 as smallint))").alias("s"), n.alias("n"))
-    near = found.distinct().join(brief.select(F.col("set_id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
-    near = near.join(brief.select(F.col("set_id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
-    enough = (F.size(F.array_intersect("sa", "sb")) + 2) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb"))
+    # Candidates meet first on 16 bits of each word, which can only make sets look more alike, but for the
+    # words of one set that coincide: a pair loses at most as many shared words as the lesser number of
+    # them in its two sets. The few that pass are verified on the whole words.
+    brief = sets.select("set_id", F.expr("transform(words, w -> cast((w & 65535) - 32768 as smallint))").alias("s"), n.alias("n")).withColumn("c", F.col("n") - F.size(F.array_distinct("s")))
+    near = found.distinct().join(brief.select(F.col("set_id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("c").alias("ca")), "a")
+    near = near.join(brief.select(F.col("set_id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
+    enough = (F.size(F.array_intersect("sa", "sb")) + F.least("ca", "cb")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6
     pairs = materialize(near.where(enough).select("a", "b"), "set-pairs")
     sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi")
     left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")

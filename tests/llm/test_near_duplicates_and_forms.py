@@ -101,3 +101,10 @@ def test_boundary_follows_cost():
     boundary, size, subsets = neardup.plan_join({20: 1000, 400: 2}, 10**6, 0.7)
     assert boundary == 20 and size >= 4 and subsets > 10
     assert neardup.plan_join({20: 1000, 400: 2}, 5, 0.7)[0] == 400 and neardup.plan_join({}, 0, 0.7)[0] == 0
+
+
+def test_long_texts_whose_words_share_sixteen_bits_are_linked(spark):
+    words = [f"w{k}" for k in range(22_000)]
+    rows = [(1, " ".join(words[:20_000])), (2, " ".join(words[2_000:])), (3, " ".join(words[:1_700])), (4, " ".join(words[250:1_950]))]
+    frame = spark.createDataFrame(rows, "message_id bigint, text string")
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(frame, boundary=0).collect()} == {(1, 2), (3, 4)}
