@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions import text as T
 from civicflow.operators.normalize import sequence_ratio, simhash64
-from civicflow.session import materialize
+from civicflow.session import materialize, release
 
 REPEAT_AFTER_S = 86_400
 HAMMING, SIMILARITY = 3, 0.88
@@ -110,10 +110,10 @@ def ladder_verdicts(rows: DataFrame) -> DataFrame:
     place = F.struct(
         F.coalesce(F.unix_micros("published_at"), never).alias("t"), F.coalesce(F.lower("source"), F.lit("")).alias("s"), F.coalesce("external_id", F.lit("")).alias("e"), F.col("message_id").alias("i")
     )
-    alone = F.concat(F.lit("#"), F.col("message_id").cast("string"))
+    alone = F.encode(F.concat(F.lit("#"), F.col("message_id").cast("string")), "utf-8")
     live = rows.where("NOT rejected").select(
-        place.alias("p"), F.coalesce(T.identity_digest(F.col("source"), F.col("external_id")), alone).alias("k_identity"), F.coalesce(F.sha2(T.canonical_url(F.col("url")), 256), alone).alias("k_url"),
-        F.sha2("model_text", 256).alias("k_text"), T.has_recurrence_marker(F.col("model_text")).alias("again"), "model_text",
+        place.alias("p"), F.coalesce(F.unhex(T.identity_digest(F.col("source"), F.col("external_id"))), alone).alias("k_identity"), F.coalesce(F.unhex(F.sha2(T.canonical_url(F.col("url")), 256)), alone).alias("k_url"),
+        F.unhex(F.sha2("model_text", 256)).alias("k_text"), T.has_recurrence_marker(F.col("model_text")).alias("again"), "model_text",
     )
     live = materialize(live, "ladder-rows")
     texts = live.select(F.col("p.i").alias("message_id"), F.col("model_text").alias("text"))
@@ -124,6 +124,7 @@ def ladder_verdicts(rows: DataFrame) -> DataFrame:
     state = materialize(
         live.drop("model_text").withColumns({"kept": F.lit(None).cast("boolean"), "leader": nothing, "step": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")}), "ladder-state"
     )
+    release(live)
     left = state.count()
     while left:
         open_rows = state.where("kept IS NULL")
@@ -154,7 +155,8 @@ def ladder_verdicts(rows: DataFrame) -> DataFrame:
         x = x.withColumn("blocked", F.coalesce(F.max(~F.col("ready") | F.col("kept")).over(earlier), F.lit(False)))
         done = F.col("exact").isNotNull() | (F.col("ready") & ~F.col("blocked"))
         fresh = x.select(*[c for c in state.columns if c not in ("kept", "leader", "step", "similarity")], *[F.when(done, F.col(c)).alias(c) for c in ("kept", "leader", "step", "similarity")])
-        state = materialize(state.where("kept IS NOT NULL").unionByName(fresh), "ladder-state")
+        before_round, state = state, materialize(state.where("kept IS NOT NULL").unionByName(fresh), "ladder-state")
+        release(before_round)
         last, left = left, state.where("kept IS NULL").count()
         if left == last:
             raise RuntimeError(f"{left} rows cannot be settled")

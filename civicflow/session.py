@@ -35,6 +35,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the table of a materialized frame that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        _remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
