@@ -27,7 +27,9 @@ def test_edits_and_neighbourhoods_are_complete():
         a, b = ("".join(rng.choice("аб") for _ in range(rng.randrange(1, 7))) for _ in range(2))
         assert canonical.edits(a, b, 2) == min(3, distance(a, b))
         if distance(a, b) <= 1:
-            assert set(canonical.neighbours(a)) & set(canonical.neighbours(b))
+            assert canonical.neighbours(a) & canonical.neighbours(b)
+        if distance(a, b) <= 2:
+            assert canonical.neighbours(a, 2) & canonical.neighbours(b, 2)
 
 
 CASES = [
@@ -49,6 +51,26 @@ def test_values_find_their_entry(spark):
     assert {r.ref_id for r in canonical.map_to_reference(values, reference.limit(0)).collect()} == {-1}
 
 
+NAMES = [
+    "Малая Садовая улица", "Новая Зеландия", "Шри Ланка", "Южная Африка", "Пушкинская улица", "Первая Садовая улица", "Папуа Новая Гвинея", "улица 8 Марта", "Коста-Рика", "Большой Каменный мост",
+    "Улица", "Садовая набережная", "Буркина Фасо", "Сан Томе и Принсипи",
+]
+SURPLUS = [
+    ("Пушкинская Ленинградская Комсомольская Первомайская", -1), ("Садовая", 12), ("Пушкинская ул., д. 5", 5), ("Новаязеландия", 2), ("Зеландия Новая", 2), ("Шри-Ланка", 3), ("Верхнесвятотроицкобогословскоя", 15),
+    ("Папуа", -1), ("Малая Садовя", 1), ("Новая", -1), ("улица", 11),
+]
+
+
+def test_names_of_several_words_map_to_themselves_and_surplus_words_lower_the_score(spark):
+    names = [*NAMES, "Верхнесвятотроицкобогословская улица"]
+    rows = [("x", k, n) for k, n in enumerate(names, 1)] + [("x", 100 + k, v) for k, (v, _) in enumerate(SURPLUS)]
+    values = spark.createDataFrame(rows, "kind string, record_id bigint, value string")
+    reference = spark.createDataFrame([(k, "x", n) for k, n in enumerate(names, 1)], "ref_id bigint, kind string, name string")
+    got = {r.record_id: r.ref_id for r in canonical.map_to_reference(values, reference).collect()}
+    assert {k: got[k] for k in range(1, len(names) + 1)} == {k: k for k in range(1, len(names) + 1)}
+    assert [(v, got[100 + k]) for k, (v, _) in enumerate(SURPLUS)] == SURPLUS
+
+
 @pytest.mark.parametrize(
     ("text", "number", "letter", "building", "code"),
     [
