@@ -141,8 +141,8 @@ class Lookalikes:
         return _LETTERS.sub(lambda m: self.word(m[0], context), text)
 
 
-def bigram_model(texts: DataFrame, column: str = "text") -> dict[str, float]:
-    """Log probabilities of letter bigrams over the script-pure words of all texts.
+def bigram_counts(texts: DataFrame, column: str = "text") -> dict[str, int]:
+    """Letter bigrams ("^" before a first letter) over the script-pure words of all texts, with their uses.
 
     Words are counted first, so each distinct word is cut into bigrams once; the collected table is
     bounded by the squares of the two alphabets."""
@@ -151,7 +151,12 @@ def bigram_model(texts: DataFrame, column: str = "text") -> dict[str, float]:
     pairs = pure.select("n", F.concat(F.lit("^"), F.col("w")).alias("w")).select(
         "n", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("g")
     )
-    counts = {r.g: r.n for r in pairs.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    return {r.g: r.n for r in pairs.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+
+
+def bigram_model(texts: DataFrame, column: str = "text") -> dict[str, float]:
+    """Log probabilities of the letter bigrams of all texts."""
+    counts = bigram_counts(texts, column)
     total: dict[str, int] = {}
     for g, n in counts.items():
         total[g[0]] = total.get(g[0], 0) + n

@@ -59,29 +59,61 @@ def test_leaks_equal_brute_force(spark, limit):
     assert leakage.leaks(d.limit(0), e, broadcast_words=limit).count() == 0 and leakage.leaks(d, e.limit(0), broadcast_words=limit).count() == 0
 
 
-@pytest.mark.parametrize("pair", [("utf-8", "cp1251"), ("utf-8", "latin-1"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp866", "cp1251")])
-def test_garbled_text_comes_back(pair):
+COMMON = frozenset("ст но то на ен ов ни ра во ко ро ос по ка ли ет та ре ть не го ер ал пр ор ан ол ит ла ва де ом ел ск ма ло ти ат ие тр ес од об ль ны ви ам ин им ем да за ар ак ой ый ая ую".split())
+
+
+def misread(text: str, written: str, read: str) -> str:
+    return "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in text.encode(written))
+
+
+@pytest.mark.parametrize("pair", [("utf-8", "cp1251"), ("utf-8", "latin-1"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "mac-roman")])
+def test_garbled_text_comes_back_by_a_learned_table_only(pair):
     clean = RU.replace("—", "-")
-    broken = clean.encode(pair[0]).decode(pair[1], "replace") if pair != ("utf-8", "cp1251") else "".join(bytes([b]).decode("cp1251", "ignore") or chr(b) for b in clean.encode())
-    text, kinds, lost = garble.restore(f"{clean}\n{broken}")
+    broken = misread(clean, *pair)
+    votes = [(k, c, g, 1) for k, c, g in garble.align(broken, clean)]
+    learned = garble.taught(votes, COMMON)
+    assert pair in learned.pairs
+    text, kinds, lost, _ = garble.restore(f"{clean}\n{broken}", garble.Learned((pair,), {}, COMMON).tables(), COMMON)
     assert text == f"{clean}\n{clean}" and kinds == [f"{pair[0]}>{pair[1]}"] and lost == 0
+    assert garble.restore(f"{clean}\n{broken}", [], COMMON)[:2] == (f"{clean}\n{broken}", [])
+
+
+def corpus_with(broken: str, twins: int) -> list[tuple[int, str]]:
+    rng = random.Random(6)
+    words = "маршрут опаздывает жители починить фонарь забор площадке вечером покосилась скамейка просят двора администрация ответила заявку кровля протекает магазин дорожка провалилась".split()
+    rows = [(k, " ".join(rng.choices(words, k=9)).capitalize() + ".") for k in range(60)]
+    return rows + [(100 + k, misread(t, *broken.split(">"))) for k, (_, t) in enumerate(rows[:twins])]
+
+
+def test_without_twins_nothing_is_restored(spark):
+    alone = corpus_with("koi8-r>cp1251", 0) + [(200, misread("Старая скамейка у магазина опять покосилась, жители просят починить.", "koi8-r", "cp1251"))]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert garble.restored_documents(frame(alone)).count() == 0
+    taught = corpus_with("koi8-r>cp1251", 3) + alone[-1:]
+    got = {r.doc_id: (r.restored, r.kinds) for r in garble.restored_documents(frame(taught)).collect()}
+    assert got[200] == ("Старая скамейка у магазина опять покосилась, жители просят починить.", ["koi8-r>cp1251"]) and set(got) == {100, 101, 102, 200}
+    assert {r.kind for r in garble.learned_mappings(frame(taught)).collect()} == {"koi8-r>cp1251"}
+
+
+def test_a_mapping_that_no_pair_of_encodings_explains_is_learned_by_characters(spark):
+    shift = {ord(c): chr(0xC0 + k) for k, c in enumerate("абвгдежзийклмнопрстуфхцчшщъыьэюя")}
+    rows = corpus_with("koi8-r>cp1251", 0)
+    taught = rows + [(100 + k, t.lower().translate(shift)) for k, (_, t) in enumerate(rows[:30])] + [(k + 300, t.lower()) for k, t in rows[:30]]
+    got = {r.doc_id: r.restored for r in garble.restored_documents(spark.createDataFrame(taught, "doc_id bigint, text string")).collect()}
+    assert all(got[100 + k] == rows[k][1].lower() for k in range(30)) and set(got) == set(range(100, 130))
 
 
 def test_clean_texts_are_not_found(spark):
-    clean = [RU, "СРОЧНО: РСО и СРО не отвечают, ГКУ и РЭС молчат.", "Кафе «Crème brûlée» закрыто.", "Цена — 15 €, т. е. ≈ 1 500 ₽.", "The café costs €5. It doesn’t help. “Soon” — they said.", "УПРАВА ЗАКРЫЛА записку № 7319 ПРО каменный домофон, ХОТЯ шаткая РОЗЕТКА потрескалась.", "+5 °C, ±2", "", None]
-    rows = [(k, t) for k, t in enumerate(clean)] + [(100, RU.encode().decode("latin-1")), (101, "забо� у дома"), (102, "It doesnâ\x80\x99t help."), (100, RU.encode().decode("latin-1"))]
+    clean = [RU, "СРОЧНО: РСО и СРО не отвечают, ГКУ и РЭС молчат.", "Кафе «Crème brûlée» закрыто.", "Цена — 15 €, т. е. ≈ 1 500 ₽.", "The café costs €5. It doesn’t help. “Soon” — they said.", "УПРАВА ЗАКРЫЛА записку № 7319 ПРО каменный домофон, ХОТЯ шаткая РОЗЕТКА потрескалась.", "+5 °C, ±2", "", None, "Почему??? Кто ответит???", "Что ?"]
+    rows = [(k, t) for k, t in enumerate(clean)] + [(100, RU.encode().decode("latin-1")), (101, "забо� у дома"), (100, RU.encode().decode("latin-1")), (103, "???????? ?????? № 4034 ??? ????, ???"), (104, "x" * 100_000)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kinds", F.lit("clash"))
-    got = {r.doc_id: r.restored for r in garble.restored_documents(frame).collect()}
-    assert set(got) == {100, 101, 102} and got[100] == RU and got[102] == "It doesn’t help."
+    got = {r.doc_id: (r.restored, r.lost > 0) for r in garble.restored_documents(frame).collect()}
+    assert got == {100: (RU, False), 101: ("забо� у дома", True), 103: (rows[-2][1], True)}
     assert garble.restored_documents(frame.limit(0)).count() == 0
 
 
-def test_twins_vote_for_the_transformation(spark):
-    text = "Маршрут № 32 вдруг опаздывает на 51 минут."
-    rows = [(1, text), (2, text.encode().decode("latin-1")), (3, "Маршрут № 5 опаздывает на 777 минут.")]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    votes = {r.kind for r in garble.learn(frame, frame.where("doc_id = 2")).collect()}
-    assert "utf-8>latin-1" in votes
+def test_the_pattern_of_repeats_survives_a_mapping():
+    assert garble.repeats("тоток") == garble.repeats("xyxyz") != garble.repeats("тотко") and garble.units_of("ab Ð¸Ð·", 2) == ["Ð¸", "Ð·"] and garble.units_of("№—»", 2) is None
 
 
 def test_passages_equal_brute_force():
