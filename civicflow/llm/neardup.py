@@ -1,16 +1,17 @@
 """Problem 1: groups of near-duplicate texts by a size-aware heavy-light set join.
 
 A text is the set of its words in their visible form (problem 7), case folded. Two sets are linked if
-their Jaccard similarity is at least ``similarity``. Sets of at most ``boundary`` words (light) meet
-through fixed-size subsets: each of a number of consistent orders of the words picks a set's
-``subset_size`` first words, and sets that share a subset are candidates. Larger sets (heavy) scan the
-inverted lists of the words in their prefix, which is exact. The boundary is where the expected cost
-of both ways, from the histogram of sizes, is least. All candidates are verified exactly.
+their Jaccard similarity is at least ``similarity``. All words stand in one order, rare ones first; two
+sets that share ``o`` of their ``n`` words share at least ``k`` of the first ``n - o + k`` ones. So
 
-Enumerating *every* c-subset, as the published join for a constant overlap does, is out of reach for a
-relative threshold (a pair of 40-word sets must share 33 words), so light sets enumerate a sample of
-subsets whose size grows with the collection and whose number follows from the miss rate allowed at
-the threshold; README gives the recall measured against brute force.
+* light sets (at most ``boundary`` words) enumerate all subsets of ``k`` = 2 words of that beginning, but for
+  words of short inverted lists (at most ``SHORT`` sets), whose lists are scanned, as a subset would save nothing;
+* heavy sets scan the inverted lists of the single words of it (``k`` = 1).
+
+Both ways are exact. The shorter set of a pair needs the smaller beginning, the longer one the larger. The
+boundary is where the rows moved by both ways, from the histogram of sizes, are least. Keys that hold
+many sets are split by salts. Every row carries 64 parities of its set's words: two sets differ by at least as
+many words as parities, so most candidates fall where they meet. The rest are verified exactly.
 
 Defined results: null texts and texts of fewer than ``min_words`` words link to nothing; equal texts
 link; repeated rows are collapsed before the join and expanded after it.
@@ -32,10 +33,12 @@ from civicflow.llm.lookalike import Lookalikes
 from civicflow.session import materialize
 
 _WORD = re.compile(r"[^\W_]+")
-MISS = 0.001  # chance allowed that a light pair at the threshold shares no subset
-#: The words that most sets share take no part in subsets, so a pair's similarity on the others is lower.
-RARE_LOSS = 0.97
-COMMON = 0.1  # a word in more than this share of all sets takes no part in subsets
+#: Words are ordered by the uses of their bucket, so the table that every worker holds has a fixed size.
+BUCKETS = 1 << 20
+KEY_BITS = 44  # of a subset; few subsets coincide by chance, and the verification drops them
+SHORT = 100  # sets of a short inverted list
+HOT_ROWS = 20_000  # rows of one key that one task takes; a key of more is split
+HOT_SAMPLE = 5_000  # sets looked at to find keys to split; only the balance of tasks depends on it
 
 
 def word_sets(texts: DataFrame, key: str, column: str, min_words: int) -> DataFrame:
@@ -69,80 +72,129 @@ def word_sets(texts: DataFrame, key: str, column: str, min_words: int) -> DataFr
     return rows.mapInArrow(run, "id bigint, words array<bigint>")
 
 
-def plan_join(sizes: dict[int, int], vocabulary: int, similarity: float) -> tuple[int, int, int]:
-    """(boundary, subset_size, subsets) with the least expected number of rows moved."""
-    total = sum(sizes.values())
-    subset_size = max(4, min(7, 5 + math.floor(math.log10(max(total, 1) / 30_000))))
-    hit = (similarity * RARE_LOSS) ** subset_size
-    subsets = math.ceil(math.log(MISS) / math.log(1 - hit))
+def beginnings(n: int, similarity: float, k: int) -> tuple[int, int]:
+    """How many first words of a set of ``n`` hold ``k`` shared ones: as the shorter of a pair, as the longer."""
+    shorter = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + k
+    longer = n - math.ceil(similarity * n - 1e-9) + k
+    return min(shorter, n), min(longer, n)
+
+
+def plan_join(sizes: dict[int, int], vocabulary: int, similarity: float) -> int:
+    """The boundary with the least expected number of rows moved."""
     best = None
-    for x in sorted(sizes):
-        light = sum(c for n, c in sizes.items() if n <= x) * subsets
-        lists = sum(c * (n - math.ceil(2 * similarity / (1 + similarity) * n) + 1) for n, c in sizes.items() if n >= similarity * x)
-        scan = sum(c * (n - math.ceil(similarity * n) + 1) for n, c in sizes.items() if n > x) * lists / max(vocabulary, 1)
-        if best is None or light + scan <= best[0]:
-            best = (light + scan, x)
-    return (best[1] if best else 0), subset_size, subsets
+    for x in [0, *sorted(sizes)]:
+        light = sum(c * math.comb(beginnings(n, similarity, 2)[1], 2) for n, c in sizes.items() if n <= x)
+        lists = sum(c * beginnings(n, similarity, 1)[0] for n, c in sizes.items() if n >= similarity * x)
+        probes = sum(c * beginnings(n, similarity, 1)[1] for n, c in sizes.items() if n > x)
+        rows = light + (lists + probes * (1 + lists / max(vocabulary, 1)) if probes else 0)
+        if best is None or rows <= best[0]:
+            best = (rows, x)
+    return best[1] if best else 0
 
 
-def _mix(x: np.ndarray, seed: np.uint64) -> np.ndarray:
+def _mix(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     x = (x ^ seed) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def _subset_rows(sets: DataFrame, common: list[int], subset_size: int, subsets: int) -> DataFrame:
-    seeds = np.random.default_rng(20240101).integers(1, 2**63, subsets, dtype=np.uint64)
-    common_words = np.array(sorted(common), dtype=np.int64)
-    last = np.uint64(2**64 - 1)
+_KEYS = "key bigint, set_id bigint, parity bigint, n int, lo int, hi int, own int"
+
+
+def _keys(sets: DataFrame, uses, similarity: float, boundary: int, salts: dict[int, int]) -> DataFrame:
+    """(key, set_id, parity, n, lo, hi, own): as the shorter set a row meets rows with ``own`` between lo and
+    hi; ``own`` is the size of the set where it may be the longer one, else 0."""
+    salted = np.array(sorted(salts), dtype=np.int64)
+    parts = np.array([salts[k] for k in sorted(salts)], dtype=np.int64)
+
+    def of_size(n: int, words: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, int]]:
+        """(keys, their rows, lo, hi, own) of sets of one size, whose words are in order."""
+        for first, last in ((0, boundary), (boundary + 1, 1 << 30)):
+            light = last == boundary
+            lo, hi, own = max(n, first), min(math.floor(n / similarity + 1e-9), last), n if first <= n <= last else 0
+            for k in (1, 2) if light else (1,):
+                shorter, longer = beginnings(n, similarity, k)
+                reach = longer if own else shorter if hi >= lo else 0
+                if reach < k:
+                    continue
+                if k == 2:
+                    i, j = np.triu_indices(reach, 1)
+                    codes, keep = _mix(_mix(words[:, i], np.uint64(2)), words[:, j]), used[:, i] > SHORT
+                else:
+                    j = np.arange(reach)
+                    codes, keep = _mix(words[:, :reach], np.uint64(1)), used[:, :reach] > 1
+                    if light:
+                        keep &= used[:, :reach] <= SHORT
+                row, column = np.nonzero(keep)
+                yield (codes & np.uint64((1 << KEY_BITS) - 1))[row, column].view(np.int64), row, lo, np.where(j < shorter, hi if hi >= lo else 0, 0)[column], own
+
+    def split(keys: np.ndarray, row: np.ndarray, top: np.ndarray, own: int, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(keys, rows, hi, own) with the keys of many sets in parts: as the longer set a row of such a key goes
+        to one part, as the shorter one to all parts."""
+        hot = np.zeros(len(keys), dtype=bool)
+        if len(salted):
+            at = np.minimum(np.searchsorted(salted, keys), len(salted) - 1)
+            hot = salted[at] == keys
+            salt = lambda k, p: _mix(k.view(np.uint64), p.astype(np.uint64) + np.uint64(5)).view(np.int64)
+            part = _mix(ids[row[hot]].view(np.uint64), np.uint64(3)) % parts[at[hot]].astype(np.uint64)
+            yield salt(keys[hot], part), row[hot], np.zeros(hot.sum(), dtype=np.int64), np.full(hot.sum(), own)
+            many = hot & (top > 0)
+            times = parts[at[many]]
+            every = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield salt(np.repeat(keys[many], times), every), np.repeat(row[many], times), np.repeat(top[many], times), np.zeros(len(every), dtype=np.int64)
+        yield keys[~hot], row[~hot], top[~hot], np.full((~hot).sum(), own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = uses.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            lengths = np.asarray(pa.compute.list_value_length(whole.column(1)))
+            step = max(1, int(400_000 // max(1, np.percentile(lengths, 99) if len(lengths) else 1)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 lists = batch.column(1)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-                rare = ~np.isin(flat, common_words)
-                kept = np.bincount(owner[rare], minlength=batch.num_rows)
-                rare |= (kept < subset_size)[owner]  # sets of common words only keep them
-                flat, owner = flat[rare].view(np.uint64), owner[rare]
-                n = np.bincount(owner, minlength=batch.num_rows)
-                column = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                padded = np.full((batch.num_rows, max(n.max(), subset_size)), last)
-                padded[owner, column] = flat
-                empty = padded == last
-                out = np.empty((batch.num_rows, subsets), dtype=np.uint64)
-                for b, seed in enumerate(seeds):
-                    order = _mix(padded, seed)
-                    order[empty] = last
-                    first = np.sort(np.partition(order, subset_size - 1, axis=1)[:, :subset_size], axis=1)
-                    code = np.full(batch.num_rows, seed)
-                    for k in range(subset_size):
-                        code = _mix(code ^ first[:, k], np.uint64(k + 1))
-                    out[:, b] = code
-                ids = np.repeat(batch.column(0).to_numpy(), subsets)
-                yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(ids)], names=["subset", "set_id"])
-
-    return sets.select("set_id", "words").mapInArrow(run, "subset bigint, set_id bigint")
-
-
-def _prefix_rows(sets: DataFrame, common: dict[int, int], share: float, name: str) -> DataFrame:
-    """The words of each set that must hold a shared one, rarest first."""
+                flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                n = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+                owner = np.repeat(np.arange(batch.num_rows), n)
+                used = counts[(flat % np.uint64(BUCKETS)).astype(np.int64)]
+                order = np.lexsort((flat, used, owner))
+                flat, used = flat[order], used[order]
+                start = np.cumsum(n) - n
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat >> np.uint64(58)), start).view(np.int64) if len(flat) else np.zeros(0, dtype=np.int64)
+                ids = batch.column(0).to_numpy()
+                for size in np.unique(n):
+                    rows = np.flatnonzero(n == size)
+                    # A slice of sets of one size, so that the subsets of long sets are made a few sets at a time.
+                    reach = beginnings(int(size), similarity, 2)[1]
+                    few = max(1, 2_000_000 // (reach * reach if size <= boundary else reach))
+                    for s in range(0, len(rows), few):
+                        part = rows[s : s + few]
+                        places = start[part][:, None] + np.arange(size)
+                        for all_keys, rows_of, lo, tops, own in of_size(int(size), flat[places], used[places]):
+                            for keys, row, top, mine in split(all_keys, rows_of, tops, own, ids[part]):
+                                if len(keys):
+                                    ints = (np.full(len(keys), size), np.full(len(keys), lo), top, mine)
+                                    columns = [pa.array(keys), pa.array(ids[part][row]), pa.array(parity[part][row]), *(pa.array(c.astype(np.int32)) for c in ints)]
+                                    yield pa.RecordBatch.from_arrays(columns, names=["key", "set_id", "parity", "n", "lo", "hi", "own"])
+
+    return sets.select("set_id", "words").mapInArrow(run, _KEYS)
+
+
+def _uses(sets: DataFrame) -> np.ndarray:
+    """How often the words of each bucket are used; words of one bucket count together."""
+    bucket = F.expr(f"cast(pmod(w, {BUCKETS}) as int)").alias("bucket")
+    rows = sets.select(F.explode("words").alias("w")).select(bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, ids, sizes = [], [], []
-            for i, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ws.sort(key=lambda w: (common.get(w, 0), w))
-                prefix = ws[: len(ws) - math.ceil(share * len(ws) - 1e-9) + 1]
-                words += prefix
-                ids += [i] * len(prefix)
-                sizes += [len(ws)] * len(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())], names=["word", name, f"{name}_size"])
 
-    return sets.select("set_id", "words").mapInArrow(run, f"word bigint, {name} bigint, {name}_size int")
+def _hot_keys(sets: DataFrame, total: int, uses, similarity: float, boundary: int) -> dict[int, int]:
+    """The number of parts of each key that many sets have, estimated on a sample of sets."""
+    share = max(1, total // HOT_SAMPLE)
+    some = _keys(sets.where(F.pmod(F.xxhash64("set_id"), F.lit(share)) == 0), uses, similarity, boundary, {})
+    counts = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") * share > HOT_ROWS) & (F.col("n") >= 10))
+    return {r.key: math.ceil(r.n * share / HOT_ROWS) for r in counts.collect()}
 
 
 def near_duplicate_sets(
@@ -158,25 +210,16 @@ def near_duplicate_sets(
         rows.join(members.where("set_id = id").select("id"), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("set_id"), "words"), "sets"
     )
     sizes = {r.n: r.c for r in sets.groupBy(F.size("words").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    total = sum(sizes.values())
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    # Words of at least a thousandth of the sets: at most a thousand times the mean size of a set.
-    head = counts.agg(F.count(F.lit(1)).alias("v"), F.collect_list(F.when(F.col("n") * 1000 >= max(total, 1), F.struct("w", "n"))).alias("f")).first()
-    frequent = {x["w"]: x["n"] for x in head["f"]}
-    planned, subset_size, subsets = plan_join(sizes, head["v"], similarity)
-    boundary = planned if boundary is None else boundary
+    counts = _uses(sets)
+    if boundary is None:
+        boundary = plan_join(sizes, int((counts > 1).sum()), similarity)
+    uses = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 1 << 31 else counts)
+    rows = _keys(sets, uses, similarity, boundary, _hot_keys(sets, sum(sizes.values()), uses, similarity, boundary))
+    a, b = rows.alias("a"), rows.alias("b")
+    meet = "a.key = b.key AND b.own BETWEEN a.lo AND a.hi AND a.set_id <> b.set_id"
+    meet += f" AND bit_count(a.parity ^ b.parity) <= (a.n + b.n) * {(1 - similarity) / (1 + similarity)}D + 1e-6D"
+    found = a.join(b, F.expr(meet)).select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
     n = F.size("words")
-    common = [w for w, c in frequent.items() if c > COMMON * total]
-    light = _subset_rows(sets.where(n <= boundary), common, subset_size, subsets)
-    a, b = light.alias("a"), light.alias("b")
-    found = a.join(b, F.expr("a.subset = b.subset AND a.set_id < b.set_id")).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-    if any(size > boundary for size in sizes):
-        lists = _prefix_rows(sets.where(n >= similarity * boundary), frequent, similarity, "x")
-        probes = _prefix_rows(sets.where(n > boundary), frequent, similarity, "y")
-        scans = probes.join(lists, "word").where(
-            (F.col("x") != F.col("y")) & (F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size"))
-        )
-        found = found.unionByName(scans.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     # Candidates meet first on 16 bits of each word, which can only make sets look more alike, but for the
     # words of one set that coincide: a pair loses at most as many shared words as the lesser number of
     # them in its two sets. The few that pass are verified on the whole words.
