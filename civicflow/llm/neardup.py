@@ -35,8 +35,8 @@ from civicflow.session import materialize
 _WORD = re.compile(r"[^\W_]+")
 #: Words are ordered by the uses of their bucket, so the table that every worker holds has a fixed size.
 BUCKETS = 1 << 20
-KEY_BITS = 44  # of a subset; few subsets coincide by chance, and the verification drops them
-SHORT = 100  # sets of a short inverted list
+KEY_BITS = 40  # of a subset; few subsets coincide by chance, and the verification drops them
+SHORT = 2_000  # sets of a short inverted list
 HOT_ROWS = 20_000  # rows of one key that one task takes; a key of more is split
 HOT_SAMPLE = 5_000  # sets looked at to find keys to split; only the balance of tasks depends on it
 
@@ -99,12 +99,15 @@ def _mix(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_KEYS = "key bigint, set_id bigint, parity bigint, n int, lo int, hi int, own int"
+#: Both sides of the join read all columns, so the rows are shuffled once.
+_KEYS = "key bigint, set_id bigint, parity bigint, role bigint"
+_ROLE = 20  # bits of each number in ``role``; longer sets share the last value, which only admits more candidates
 
 
 def _keys(sets: DataFrame, uses, similarity: float, boundary: int, salts: dict[int, int]) -> DataFrame:
-    """(key, set_id, parity, n, lo, hi, own): as the shorter set a row meets rows with ``own`` between lo and
-    hi; ``own`` is the size of the set where it may be the longer one, else 0."""
+    """(key, set_id, parity, role): as the shorter set a row meets rows with ``own`` between ``lo`` and ``hi``;
+    ``own`` is the size of the set where it may be the longer one, else 0. ``role`` holds lo, hi and own."""
+    most = (1 << _ROLE) - 1
     salted = np.array(sorted(salts), dtype=np.int64)
     parts = np.array([salts[k] for k in sorted(salts)], dtype=np.int64)
 
@@ -173,9 +176,9 @@ def _keys(sets: DataFrame, uses, similarity: float, boundary: int, salts: dict[i
                         for all_keys, rows_of, lo, tops, own in of_size(int(size), flat[places], used[places]):
                             for keys, row, top, mine in split(all_keys, rows_of, tops, own, ids[part]):
                                 if len(keys):
-                                    ints = (np.full(len(keys), size), np.full(len(keys), lo), top, mine)
-                                    columns = [pa.array(keys), pa.array(ids[part][row]), pa.array(parity[part][row]), *(pa.array(c.astype(np.int32)) for c in ints)]
-                                    yield pa.RecordBatch.from_arrays(columns, names=["key", "set_id", "parity", "n", "lo", "hi", "own"])
+                                    role = (min(lo, most) << 2 * _ROLE) + (np.minimum(top, most) << _ROLE) + np.minimum(mine, most)
+                                    columns = [pa.array(c) for c in (keys, ids[part][row], parity[part][row], role.astype(np.int64))]
+                                    yield pa.RecordBatch.from_arrays(columns, names=["key", "set_id", "parity", "role"])
 
     return sets.select("set_id", "words").mapInArrow(run, _KEYS)
 
@@ -216,8 +219,10 @@ def near_duplicate_sets(
     uses = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 1 << 31 else counts)
     rows = _keys(sets, uses, similarity, boundary, _hot_keys(sets, sum(sizes.values()), uses, similarity, boundary))
     a, b = rows.alias("a"), rows.alias("b")
-    meet = "a.key = b.key AND b.own BETWEEN a.lo AND a.hi AND a.set_id <> b.set_id"
-    meet += f" AND bit_count(a.parity ^ b.parity) <= (a.n + b.n) * {(1 - similarity) / (1 + similarity)}D + 1e-6D"
+    lo, hi, own = f"(a.role >> {2 * _ROLE})", f"((a.role >> {_ROLE}) & {(1 << _ROLE) - 1})", f"(b.role & {(1 << _ROLE) - 1})"
+    meet = f"a.key = b.key AND {own} BETWEEN {lo} AND {hi} AND a.set_id <> b.set_id"
+    # Two sets of at most hi/k and own words differ in at most this share of both; ``lo`` is the shorter's size or more.
+    meet += f" AND (bit_count(a.parity ^ b.parity) <= ({lo} + {own}) * {(1 - similarity) / (1 + similarity)}D + 1e-6D OR {own} = {(1 << _ROLE) - 1})"
     found = a.join(b, F.expr(meet)).select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
     n = F.size("words")
     # Candidates meet first on 16 bits of each word, which can only make sets look more alike, but for the
