@@ -295,7 +295,7 @@ def learn(documents: DataFrame, suspects: DataFrame, column: str = "text") -> Da
 
 
 def _suspects(rows: DataFrame, column: str) -> DataFrame:
-    gate = F.col(column).rlike(MAY_BE_GARBLED) | F.col(column).rlike("[А-ЯЁ]{4}") | F.col(column).rlike(MAY_BE_LOST)
+    gate = F.col(column).rlike(MAY_BE_GARBLED) | F.col(column).rlike("[А-ЯЁ]{4}") | (F.col(column).contains("??") & F.col(column).rlike(MAY_BE_LOST))
     return materialize(rows.where(gate), "garbled-suspects")
 
 
