@@ -5,7 +5,7 @@ their Jaccard similarity is at least ``similarity``. All words stand in one orde
 sets that share ``o`` of their ``n`` words share at least ``k`` of the first ``n - o + k`` ones. So
 
 * light sets (at most ``boundary`` words) enumerate all subsets of ``k`` = 2 words of that beginning, but for
-  words of short inverted lists (at most ``SHORT`` sets), whose lists are scanned, as a subset would save nothing;
+  words of short inverted lists (at most the share ``SHORT`` of all sets), whose lists are scanned, as a subset would save nothing;
 * heavy sets scan the inverted lists of the single words of it (``k`` = 1).
 
 Both ways are exact. The shorter set of a pair needs the smaller beginning, the longer one the larger. The
@@ -36,7 +36,7 @@ _WORD = re.compile(r"[^\W_]+")
 #: Words are ordered by the uses of their bucket, so the table that every worker holds has a fixed size.
 BUCKETS = 1 << 20
 KEY_BITS = 40  # of a subset; few subsets coincide by chance, and the verification drops them
-SHORT = 2_000  # sets of a short inverted list
+SHORT = 0.01  # share of all sets in a short inverted list; scanning these costs less than half of what the subsets do
 HOT_ROWS = 20_000  # rows of one key that one task takes; a key of more is split
 HOT_SAMPLE = 5_000  # sets looked at to find keys to split; only the balance of tasks depends on it
 
@@ -104,7 +104,7 @@ _KEYS = "key bigint, set_id bigint, parity bigint, role bigint"
 _ROLE = 20  # bits of each number in ``role``; longer sets share the last value, which only admits more candidates
 
 
-def _keys(sets: DataFrame, uses, similarity: float, boundary: int, salts: dict[int, int]) -> DataFrame:
+def _keys(sets: DataFrame, uses, short: int, similarity: float, boundary: int, salts: dict[int, int]) -> DataFrame:
     """(key, set_id, parity, role): as the shorter set a row meets rows with ``own`` between ``lo`` and ``hi``;
     ``own`` is the size of the set where it may be the longer one, else 0. ``role`` holds lo, hi and own."""
     most = (1 << _ROLE) - 1
@@ -123,12 +123,12 @@ def _keys(sets: DataFrame, uses, similarity: float, boundary: int, salts: dict[i
                     continue
                 if k == 2:
                     i, j = np.triu_indices(reach, 1)
-                    codes, keep = _mix(_mix(words[:, i], np.uint64(2)), words[:, j]), used[:, i] > SHORT
+                    codes, keep = _mix(_mix(words[:, i], np.uint64(2)), words[:, j]), used[:, i] > short
                 else:
                     j = np.arange(reach)
                     codes, keep = _mix(words[:, :reach], np.uint64(1)), used[:, :reach] > 1
                     if light:
-                        keep &= used[:, :reach] <= SHORT
+                        keep &= used[:, :reach] <= short
                 row, column = np.nonzero(keep)
                 yield (codes & np.uint64((1 << KEY_BITS) - 1))[row, column].view(np.int64), row, lo, np.where(j < shorter, hi if hi >= lo else 0, 0)[column], own
 
@@ -192,10 +192,10 @@ def _uses(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _hot_keys(sets: DataFrame, total: int, uses, similarity: float, boundary: int) -> dict[int, int]:
+def _hot_keys(sets: DataFrame, total: int, uses, short: int, similarity: float, boundary: int) -> dict[int, int]:
     """The number of parts of each key that many sets have, estimated on a sample of sets."""
     share = max(1, total // HOT_SAMPLE)
-    some = _keys(sets.where(F.pmod(F.xxhash64("set_id"), F.lit(share)) == 0), uses, similarity, boundary, {})
+    some = _keys(sets.where(F.pmod(F.xxhash64("set_id"), F.lit(share)) == 0), uses, short, similarity, boundary, {})
     counts = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") * share > HOT_ROWS) & (F.col("n") >= 10))
     return {r.key: math.ceil(r.n * share / HOT_ROWS) for r in counts.collect()}
 
@@ -217,10 +217,12 @@ def near_duplicate_sets(
     if boundary is None:
         boundary = plan_join(sizes, int((counts > 1).sum()), similarity)
     uses = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 1 << 31 else counts)
-    rows = _keys(sets, uses, similarity, boundary, _hot_keys(sets, sum(sizes.values()), uses, similarity, boundary))
+    total = sum(sizes.values())
+    short = max(2, int(SHORT * total))
+    rows = _keys(sets, uses, short, similarity, boundary, _hot_keys(sets, total, uses, short, similarity, boundary))
     a, b = rows.alias("a"), rows.alias("b")
     lo, hi, own = f"(a.role >> {2 * _ROLE})", f"((a.role >> {_ROLE}) & {(1 << _ROLE) - 1})", f"(b.role & {(1 << _ROLE) - 1})"
-    meet = f"a.key = b.key AND {own} BETWEEN {lo} AND {hi} AND a.set_id <> b.set_id"
+    meet = f"a.key = b.key AND {own} >= {lo} AND {own} <= {hi} AND a.set_id <> b.set_id"
     # Two sets of at most hi/k and own words differ in at most this share of both; ``lo`` is the shorter's size or more.
     meet += f" AND (bit_count(a.parity ^ b.parity) <= ({lo} + {own}) * {(1 - similarity) / (1 + similarity)}D + 1e-6D OR {own} = {(1 << _ROLE) - 1})"
     found = a.join(b, F.expr(meet)).select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
