@@ -67,6 +67,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.decode_ids(p8_ids(spark, d), tokenize.pieces(spark))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_coverage(spark, d).select("doc_id", "item_id").distinct()
 
@@ -95,5 +99,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+#: Texts encoded and decoded again are as they were.
+DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+#: All runs of twelve words of both sides.
+LEAKED = """
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+     e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+     dr AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+     er AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (run)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_decoded": DECODED, "p9_found": LEAKED}

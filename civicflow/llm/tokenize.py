@@ -1,10 +1,10 @@
 """Problem 8: ids of all texts under a public byte-level BPE vocabulary through a table of distinct words.
 
 Spark splits every text into the words of the public pattern, counts the distinct words of the whole
-corpus and encodes each of them once. The ids then go back to the texts by position: the most frequent
-words (at most ``head_words``, a bound on what is broadcast) as a dictionary on the workers, all other
-words by a join on the word. Byte-level BPE never merges across words, so the result is that of
-encoding whole texts.
+corpus and encodes each of them once. The ids then go back to the texts by position: a dictionary of the
+most frequent short words, bounded in words and bytes, is on every worker; all other words of a text come
+by a join on the word. Byte-level BPE never merges across words, so the result is that of encoding whole
+texts.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded each.
 """
@@ -15,6 +15,7 @@ import base64
 import os
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from civicflow.session import materialize
 TOKENIZERS = os.environ.get("CIVICFLOW_TOKENIZERS", "/opt/tokenizers")
 #: The public pattern of byte-level BPE: contractions, words, numbers, signs, spaces (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-HEAD_WORDS = 400_000
+#: The dictionary on the workers holds at most so many words of at most so many bytes.
+HEAD_WORDS, HEAD_BYTES = 20_000, 64
 
 
 def vocabulary(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> dict[bytes, int]:
@@ -35,6 +37,14 @@ def vocabulary(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> dict[byt
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f)}
 
 
+@cache
+def _encoder(folder: str, name: str):
+    """Loaded once a worker, not once a task."""
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=vocabulary(folder, name), special_tokens={})
+
+
 def distinct_words(texts: DataFrame, column: str) -> DataFrame:
     """(word, n): each word of the corpus with its number of uses; counted per batch before the shuffle."""
 
@@ -54,14 +64,11 @@ def encode_words(words: DataFrame, folder: str, name: str) -> DataFrame:
     """(word, n, ids), each word encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=vocabulary(folder, name), special_tokens={})
+        bpe = _encoder(folder, name)
         for batch in batches:
             ids = [bpe.encode_ordinary(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    # One slice in so many rows keeps the number of times the vocabulary is loaded small.
     return words.mapInArrow(run, "word string, n bigint, ids array<int>")
 
 
@@ -70,10 +77,8 @@ def encode_texts(
 ) -> DataFrame:
     spark = texts.sparkSession
     rows = texts.select(F.col(key), F.col(column).alias("t"))
-    words = materialize(encode_words(distinct_words(rows, "t").coalesce(8), folder, name), "word-ids")
-    total = words.count()
-    head = words if total <= head_words else words.orderBy(F.desc("n"), "word").limit(head_words)
-    packed = head.select("word", "ids").toArrow()
+    words = materialize(encode_words(distinct_words(rows, "t"), folder, name), "word-ids")
+    packed = words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_words).select("word", "ids").toArrow()
     lists = packed.column("ids").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -88,10 +93,7 @@ def encode_texts(
         return loaded["head"]
 
     kind = dict(rows.dtypes)[key]
-    if total > head_words:
-        rows = _with_tail(rows, words, head_table, key, kind)
-    else:
-        rows = rows.withColumn("tail", F.lit(None).cast("array<struct<word:string,ids:array<int>>>"))
+    rows = _with_tail(rows, words, head_table, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(PATTERN).findall
@@ -128,8 +130,10 @@ def encode_texts(
     return rows.select(key, "t", "tail").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
-def _with_tail(rows: DataFrame, words: DataFrame, head_table, key: str, kind: str) -> DataFrame:
-    """Adds to each text the ids of those of its words that the head lacks, by a join on the word."""
+def _with_tail(rows: DataFrame, words: DataFrame, head_table, key: str) -> DataFrame:
+    """Adds to each text the ids of those of its words that the dictionary lacks, by a join on the word.
+
+    A hot word is joined to the one row of its ids, and words that many texts have are in the dictionary."""
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(PATTERN).findall
