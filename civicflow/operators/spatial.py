@@ -1,9 +1,12 @@
-"""Points near points or in regions: cell ranges on a space-filling curve, then the exact test.
-
-Points get the code of their cell on a Morton curve over longitude and latitude. A region (a disc on the
-sphere, an area, or both) is covered by ranges of codes, found by splitting cells until they lie inside,
-outside or are small. Codes and ranges meet by the coarse cells they fall in, an equi-join that no hot
-cell can turn into a product, and the pairs that are left are tested exactly, all in the JVM.
+"""Points near other points or in regions: cells of a space-filling curve, then the exact test.
+
+Points get the code of their cell on a Morton curve over longitude and latitude; the cells of the levels
+above are its prefixes, so every cell is one range of codes. A region (a disc on the sphere, an area, or
+both) is covered by such cells, small ones at its border and larger ones inside, of levels that follow
+from its size. A point and a region meet where the region has the point's cell of one of the levels in use:
+an equi-join without a further condition, whose pairs are in the region or near its border. A cell that
+many points share is one join key; it holds no pair but those of the regions over it, and Spark's adaptive
+skew join splits its points. The pairs are then tested exactly, all in the JVM.
 """
 
 from __future__ import annotations
@@ -17,9 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_008.8
-LEVEL = 16  # cells per axis: 2 ** LEVEL
-FINE, COARSE = 10, 5  # levels of the cells that codes and ranges meet in
-MAX_RANGES = 4_000  # splitting stops here; a coarser cover only leaves more to the exact test
+LEVEL = 20  # cells per axis: 2 ** LEVEL; of 38 by 19 m at the equator
+STEP = 2  # levels between two that are used, so that a point has few cells
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -28,7 +30,7 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
 
 
 def _spread(x: Column) -> Column:
-    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
         x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
     return x
 
@@ -76,49 +78,59 @@ def rings_of(geometry: str | None) -> list[list[list[float]]]:
         return []
 
 
-def cover(boxes: list[tuple[float, float, float, float]]) -> list[tuple[int, int]]:
-    """Ranges of codes, inclusive and merged, of the cells that touch any of the boxes."""
-    out: list[tuple[int, int]] = []
-    open_cells = [(0, 0, 0)]  # level, x, y
-    while open_cells:
-        level, x, y = open_cells.pop(0)
-        w, h = 360.0 / (1 << level), 180.0 / (1 << level)
-        west, south = -180 + x * w, -90 + y * h
-        touching = [b for b in boxes if b[0] <= west + w and b[2] >= west and b[1] <= south + h and b[3] >= south]
-        if not touching:
-            continue
-        inside = any(b[0] <= west and b[2] >= west + w and b[1] <= south and b[3] >= south + h for b in touching)
-        if inside or level == LEVEL or len(out) + len(open_cells) >= MAX_RANGES:
-            code = 0
-            for k in range(level):
-                code |= (x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1
-            shift = 2 * (LEVEL - level)
-            out.append((code << shift, ((code + 1) << shift) - 1))
-        else:
-            open_cells += [(level + 1, 2 * x + i, 2 * y + j) for i in (0, 1) for j in (0, 1)]
-    merged: list[tuple[int, int]] = []
-    for lo, hi in sorted(out):
-        if merged and lo <= merged[-1][1] + 1:
-            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-        else:
-            merged.append((lo, hi))
-    return merged
-
-
-_REGION = "region_id bigint, lo bigint, hi bigint"
+def _morton(x: int, y: int) -> int:
+    code = 0
+    for k in range(LEVEL):
+        code |= (x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1
+    return code
+
+
+def cover(boxes: list[tuple[float, float, float, float]], steps: int = 2) -> set[tuple[int, int]]:
+    """(level, code) of cells that together hold the boxes, none inside another.
+
+    The first cells are about as large as a box; those that a box does not fill are split ``steps`` times."""
+    found: set[tuple[int, int]] = set()
+    for west, south, east, north in boxes:
+        extent = max(east - west, 2 * (north - south), 360.0 / (1 << LEVEL))
+        first = min(LEVEL, max(0, int(math.log2(360.0 / extent)))) // STEP * STEP
+        last = min(LEVEL // STEP * STEP, first + steps * STEP)
+        w, h = 360.0 / (1 << first), 180.0 / (1 << first)
+        clip = lambda v: min(max(int(v), 0), (1 << first) - 1)  # noqa: E731, B023
+        xs = range(clip((west + 180) / w), clip((east + 180) / w) + 1)
+        ys = range(clip((south + 90) / h), clip((north + 90) / h) + 1)
+        cells = [(first, x, y) for x in xs for y in ys]
+        while cells:
+            level, x, y = cells.pop()
+            w, h = 360.0 / (1 << level), 180.0 / (1 << level)
+            x0, y0 = -180 + x * w, -90 + y * h
+            if west > x0 + w or east < x0 or south > y0 + h or north < y0:
+                continue
+            if level == last or (west <= x0 and east >= x0 + w and south <= y0 and north >= y0 + h):
+                found.add((level, _morton(x, y)))
+            else:
+                n = 1 << STEP
+                cells += [(level + STEP, n * x + i, n * y + j) for i in range(n) for j in range(n)]
+    inside = lambda level, code: any((up, code >> 2 * (level - up)) in found for up in range(0, level, STEP))
+    return {c for c in found if not inside(*c)}
+
+
+_CELLS = "region_id bigint, level int, cell bigint"
 _EDGES = "region_id bigint, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
-def _covers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for r in frame.itertuples():
-            if r.lon == r.lon and r.lat == r.lat and r.radius == r.radius:
-                boxes = disc_boxes(r.lon, r.lat, r.radius) if r.radius >= 0 else []
-            else:
-                boxes = [(min(p[0] for p in g), min(p[1] for p in g), max(p[0] for p in g), max(p[1] for p in g)) for g in rings_of(r.geometry) if g]
-            rows += [(r.region_id, lo, hi) for lo, hi in cover(boxes)] if boxes else []
-        yield pd.DataFrame(rows, columns=["region_id", "lo", "hi"]).astype("int64")
+def _covers(steps: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                if r.lon == r.lon and r.lat == r.lat and r.radius == r.radius:
+                    boxes = disc_boxes(r.lon, r.lat, r.radius) if r.radius >= 0 else []
+                else:
+                    boxes = [(min(p[0] for p in g), min(p[1] for p in g), max(p[0] for p in g), max(p[1] for p in g)) for g in rings_of(r.geometry) if g]
+                rows += [(r.region_id, level, code) for level, code in cover(boxes, steps)]
+            yield pd.DataFrame(rows, columns=["region_id", "level", "cell"]).astype({"region_id": "int64", "level": "int32", "cell": "int64"})
+
+    return run
 
 
 def _edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +143,7 @@ def _edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["region_id", "edges"])
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame, steps: int = 2) -> DataFrame:
     """(region_id, point_id) of the points that lie in a region.
 
     points: (point_id, lon, lat). regions: (region_id, lon, lat, radius, geometry); the disc counts if
@@ -139,15 +151,14 @@ def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     if both are set. A region with neither has no points, nor has a null coordinate a region. Points that
     are there twice come out twice."""
     regions = regions.select("region_id", *(F.col(c).cast("double").alias(c) for c in ("lon", "lat", "radius")), "geometry")
-    ranges = regions.mapInPandas(_covers, _REGION)
-    # Ranges longer than 64 fine cells meet in coarse cells, so no region is copied into many cells.
-    fine, coarse = 2 * (LEVEL - FINE), 2 * (LEVEL - COARSE)
-    long = F.shiftright("hi", fine) - F.shiftright("lo", fine) > 64
-    ranges = ranges.withColumn("tier", F.when(long, coarse).otherwise(fine))
-    ranges = ranges.withColumn("bin", F.explode(F.sequence(F.expr("shiftright(lo, tier)"), F.expr("shiftright(hi, tier)"))))
+    cells = regions.mapInPandas(_covers(steps), _CELLS)
+    levels = [F.lit(level) for level in range(0, LEVEL + 1, STEP)]
     coded = points.select("point_id", "lon", "lat", cell_code(F.col("lon"), F.col("lat")).alias("code")).where("code IS NOT NULL")
-    coded = coded.withColumn("tier", F.explode(F.array(F.lit(fine), F.lit(coarse)))).withColumn("bin", F.expr("shiftright(code, tier)"))
-    near = coded.alias("p").join(ranges.alias("r"), F.expr("p.tier = r.tier AND p.bin = r.bin AND p.code BETWEEN r.lo AND r.hi"))
+    # At most one level in STEP; those that no region uses are dropped before points are moved.
+    used = cells.select("level").distinct()
+    coded = coded.withColumn("level", F.explode(F.array(*levels))).join(F.broadcast(used), "level", "left_semi")
+    coded = coded.withColumn("cell", F.expr(f"shiftright(code, 2 * ({LEVEL} - level))"))
+    near = coded.alias("p").join(cells.alias("r"), ["level", "cell"])
     near = near.select("region_id", "point_id", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
     shapes = regions.join(regions.select("region_id", "geometry").mapInPandas(_edges, _EDGES), "region_id", "left").drop("geometry")
     disc = F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("radius").isNotNull()
@@ -161,7 +172,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
 def points_near_points(points: DataFrame, others: DataFrame, radius_m: float) -> DataFrame:
     """(point_id, other_id, distance_m) of all others within a distance of each point."""
     regions = others.select(F.col("point_id").alias("region_id"), "lon", "lat", F.lit(radius_m).alias("radius"), F.lit(None).cast("string").alias("geometry"))
-    pairs = points_in_regions(points, regions)
+    pairs = points_in_regions(points, regions, steps=0)
     a = pairs.join(points.select("point_id", F.col("lon").alias("x1"), F.col("lat").alias("y1")), "point_id")
     b = a.join(others.select(F.col("point_id").alias("region_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2")), "region_id")
     return b.select("point_id", F.col("region_id").alias("other_id"), haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("distance_m"))

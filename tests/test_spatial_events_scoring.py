@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions import geodesy
 from civicflow.operators import addressing, events, labeling, quality, scoring, storage
-from civicflow.operators.spatial import _distance, cell_code, cover, disc_boxes, points_in_regions, points_near_points
+from civicflow.operators.spatial import LEVEL, _distance, cell_code, cover, disc_boxes, points_in_regions, points_near_points
 from civicflow.plans import event_queries
 from civicflow.sources import pages
 
@@ -40,7 +40,16 @@ def test_near_points_and_codes(spark):
     pairs = {(r.point_id, r.other_id) for r in points_near_points(p, p, 100.0).collect()}
     assert pairs == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
     codes = [r[0] for r in p.select(cell_code(F.col("lon"), F.col("lat"))).collect()]
-    assert all(any(lo <= c <= hi for lo, hi in cover(disc_boxes(10.0, 50.0, 100_000))) for c in codes)
+    cells = cover(disc_boxes(10.0, 50.0, 100_000))
+    assert len(cells) < 400 and all(sum((level, c >> 2 * (LEVEL - level)) in cells for level in range(0, LEVEL + 1, 2)) == 1 for c in codes)
+    for boxes in ([(-180.0, -90.0, 180.0, 90.0)], [(0.0, 0.0, 0.0, 0.0)], [(5.0, 5.0, 5.00001, 5.00001)], [(-180.0, 10.0, 180.0, 10.1)]):
+        assert 1 <= len(cover(boxes)) < 4000
+
+
+def test_many_points_of_one_cell_meet_only_the_regions_over_it(spark):
+    points = spark.range(100_000).select(F.col("id").alias("point_id"), (10.0 + F.col("id") * 1e-10).alias("lon"), F.lit(50.0).alias("lat"))
+    regions = spark.createDataFrame([(1, 10.0, 50.0, 50.0, None), (2, 10.1, 50.0, 50.0, None)] + [(3 + k, 10.003 + k, 50.0, 50.0, None) for k in range(40)], REGIONS)
+    assert points_in_regions(points, regions).groupBy("region_id").count().collect() == [(1, 100_000)]
 
 
 def test_geodesic_known_line_and_symmetry():
