@@ -3,10 +3,12 @@
 Each input is cut into components: postcode, house number, letter and building number, and words. The
 words are repaired against the streets and towns that occur in the data itself (labels of selected
 candidates, cities) with the token repair of problem 2. Records with the same components form a class.
-Classes meet in blocks of one street sound and house number, or one postcode and house number; each
-pair is compared by component with a level for missing values, and expectation-maximization over the
-counts of comparison patterns estimates the linkage weights. Pairs of classes with a high posterior that
-pass the exact check (no component of the building differs) are linked; class members are paired last.
+Classes meet in blocks of one street sound and house number, or of one of their postcodes and the house
+number; each pair is compared by component with a level for missing values, and expectation-maximization
+over the counts of comparison patterns, those inside classes among them, estimates the linkage weights.
+Pairs of classes with a high posterior that pass the exact check (no component of the building differs; a
+street that could not be repaired may sound different only where postcode and label agree) are linked;
+class members are paired last.
 
 Defined results: null, empty and houseless inputs pair with nothing; a town missing in the input is taken
 from the city, then from the label; classes are told apart by all their components, so ties link alike.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.canonical import edits, latin, neighbours, readings, stem
+from civicflow.llm.canonical import _ADJECTIVE, edits, latin, neighbours, readings, stem
 from civicflow.llm.lookalike import Lookalikes
 from civicflow.session import materialize
 
@@ -42,13 +44,13 @@ MARKERS = frozenset(
 )
 _STREET_MARK = re.compile(r"(?:^|\s)(?:улица|ул\.|набережная|наб\.|аллея|ал\.|переулок|пер\.|проспект|пр\.)(?:\s|$)")
 _LETTERS = {"a": "а", "b": "б", "v": "в", "g": "г", "d": "д"}
-_SOUNDS = str.maketrans("бвгдзжэыёщтйо", "пфктсшеиешдиа")
+_SOUNDS = ("бвгдзжэыёщтйо", "пфктсшеиешдиа")
 
 
-def sound(word: str) -> str:
+def sound(word: Column) -> Column:
     """A sound key: stem, paired consonants and unstressed vowels merged, repeats and signs dropped."""
-    s = re.sub(r"[ьъ]", "", stem(word)).translate(_SOUNDS)
-    return re.sub(r"(.)\1+", r"\1", s)
+    s = F.regexp_replace(F.regexp_replace(word, _ADJECTIVE.pattern, ""), "[ьъ]", "")
+    return F.regexp_replace(F.translate(s, *_SOUNDS), r"(.)\1+", "$1")
 
 
 def parse(text: str, forms: Lookalikes, city: str = "") -> tuple[str | None, str | None, str, str, list[str]]:
@@ -178,9 +180,10 @@ def address_components(cases: DataFrame) -> DataFrame:
         parsed.select("case_id", F.explode("label_parts").alias("word")).join(vocabulary.where("kind = 'town'"), "word").groupBy("case_id").agg(F.min("word").alias("label_town"))
     )
     merged = parsed.join(best, "case_id", "left").join(label_towns, "case_id", "left")
-    spoken = F.udf(lambda ws: sound(max((w for w in ws if "~" not in w), key=lambda w: (len(w), w), default="")), "string")
+    longest = F.expr("array_max(transform(filter(words, w -> NOT contains(w, '~')), w -> struct(length(w) as n, w)))")
+    spoken = F.coalesce(sound(longest["w"]), F.lit(""))
     return merged.select(
-        "case_id", F.coalesce("town", "city", "label_town").alias("town"), F.coalesce("street", F.concat(F.lit("~"), spoken("words"))).alias("street"),
+        "case_id", F.coalesce("town", "city", "label_town").alias("town"), F.coalesce("street", F.concat(F.lit("~"), spoken)).alias("street"),
         "number", "letter", "building", "postcode", "label_street", "label_house",
     )
 
@@ -213,42 +216,58 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 30) -> d
     return post
 
 
+def _inside(records: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """The comparison patterns of all pairs inside classes, counted from the sizes of groups of records."""
+    both = F.col("postcode").isNotNull() & F.col("label").isNotNull()
+    two = lambda n: F.coalesce(F.sum(F.expr(f"{n} * ({n} - 1) / 2")), F.lit(0.0)).cast("bigint")
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0))
+    groups = materialize(records.groupBy("code", "postcode", "label").agg(F.count(F.lit(1)).alias("c")), "address-groups")
+    sizes = [F.sum("c").alias("n"), some(F.col("postcode").isNotNull()).alias("p"), some(F.col("label").isNotNull()).alias("l"), some(both).alias("pl")]
+    n, p, lab, pl = groups.groupBy("code").agg(*sizes).agg(two("n"), two("p"), two("l"), two("pl")).first()
+    p2, p2l = groups.where("postcode IS NOT NULL").groupBy("code", "postcode").agg(*sizes).agg(two("n"), two("l")).first()
+    l2, l2p = groups.where("label IS NOT NULL").groupBy("code", "label").agg(*sizes).agg(two("n"), two("p")).first()
+    a = groups.where(both).agg(two("c")).first()[0]
+    table = {(2, 2): a, (2, 1): p2 - p2l, (2, 0): p2l - a, (1, 2): l2 - l2p, (1, 1): n - p - lab + pl, (1, 0): lab - pl - (l2 - l2p), (0, 2): l2p - a, (0, 1): p - pl - (p2 - p2l), (0, 0): pl - p2l - l2p + a}
+    return [((2, 2, 2, 2, *k), c) for k, c in sorted(table.items()) if c > 0]
+
+
 def linked_addresses(cases: DataFrame, posterior: float = 0.5) -> DataFrame:
     """(case_id_a, case_id_b): pairs of cases of one building."""
     parts = ["town", "street", "number", "letter", "building"]
-    records = materialize(address_components(cases).where(F.col("number").isNotNull() & (F.length("street") > 1)), "address-records")
+    records = address_components(cases).where(F.col("number").isNotNull() & (F.length("street") > 1))
+    label = F.when(F.col("label_street").isNotNull() & F.col("label_house").isNotNull(), F.concat_ws(" ", "label_street", "label_house"))
     code = F.xxhash64(*[F.coalesce(c, F.lit("\x00")) for c in parts])
-    records = records.withColumn("code", code)
-    said = F.udf(lambda s: sound(s.lstrip("~")) if s[0] != "~" else s[1:], "string")
-    classes = records.groupBy("code", *parts).agg(
-        F.max("postcode").alias("postcode"), F.min("postcode").alias("postcode2"), F.max(F.concat_ws(" ", "label_street", "label_house")).alias("label"), F.count(F.lit(1)).alias("n")
-    )
-    classes = materialize(classes.withColumn("sound", said("street")).drop("postcode2"), "address-classes")
+    records = materialize(records.select("case_id", *parts, "postcode", label.alias("label"), code.alias("code")), "address-records")
+    classes = records.groupBy("code", *parts).agg(F.max("postcode").alias("postcode"), F.max("label").alias("label"))
+    said = F.when(F.col("street").startswith("~"), F.expr("substring(street, 2)")).otherwise(sound(F.col("street")))
+    classes = materialize(classes.withColumn("sound", said), "address-classes")
     by_sound = classes.select("*", F.xxhash64(F.lit("s"), "sound", "number").alias("block"))
-    by_code = classes.where(F.col("postcode").isNotNull()).select("*", F.xxhash64(F.lit("p"), "postcode", "number").alias("block"))
+    codes = records.where(F.col("postcode").isNotNull()).select("code", "postcode").distinct()
+    by_code = classes.drop("postcode").join(codes, "code").select(*classes.columns, F.xxhash64(F.lit("p"), "postcode", "number").alias("block"))
     blocks = by_sound.unionByName(by_code)
     a, b = blocks.alias("a"), blocks.alias("b")
     compare = lambda c: F.when((F.coalesce(f"a.{c}", F.lit("")) == "") | (F.coalesce(f"b.{c}", F.lit("")) == ""), 1).when(F.col(f"a.{c}") == F.col(f"b.{c}"), 2).otherwise(0).alias(f"v_{c}")
-    exact = lambda c: F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), 2).otherwise(0).alias(f"v_{c}")
+    # Two numbers without a letter agree; a letter on one side only is missing on the other.
+    part = lambda c: F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), 2).when((F.col(f"a.{c}") == "") | (F.col(f"b.{c}") == ""), 1).otherwise(0).alias(f"v_{c}")
     # An unrepaired street ("~") is known by its sound only; two repaired ones are one only if they are equal.
-    unsure = (F.col("a.sound") == F.col("b.sound")) & (F.col("a.street").startswith("~") | F.col("b.street").startswith("~"))
-    alike = F.when(F.col("a.street") == F.col("b.street"), 2).when(unsure, 1).otherwise(0).alias("v_street")
+    loose = F.col("a.street").startswith("~") | F.col("b.street").startswith("~")
+    alike = F.when(F.col("a.street") == F.col("b.street"), 2).when(loose & (F.col("a.sound") == F.col("b.sound")), 1).otherwise(0).alias("v_street")
     pairs = a.join(b, F.expr("a.block = b.block AND a.code < b.code")).select(
-        F.col("a.code").alias("x"), F.col("b.code").alias("y"), compare("town"), alike, exact("letter"), exact("building"), compare("postcode"), compare("label")
+        F.col("a.code").alias("x"), F.col("b.code").alias("y"), compare("town"), alike, part("letter"), part("building"), compare("postcode"), compare("label"), loose.alias("loose")
     )
     columns = [f"v_{c}" for c in LEVELS]
-    pairs = materialize(pairs.distinct(), "address-pairs")
-    # Pairs inside a class agree in all components; they count as patterns too. At most 3^6 patterns.
-    inside = classes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint")).first()[0] or 0
-    counts = [(tuple(r[c] for c in columns), r.n) for r in pairs.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect()]
-    if inside:
-        counts.append(((2, 2, 2, 2, 1, 2), inside))
+    # A pair may meet in several blocks, by the sound and by postcodes: it counts once, with what agrees in any.
+    pairs = materialize(pairs.groupBy("x", "y").agg(*(F.max(c).alias(c) for c in [*columns, "loose"])), "address-pairs")
+    # At most 3^6 patterns.
+    counts = [(tuple(r[c] for c in columns), r.n) for r in pairs.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect()] + _inside(records)
     weights = estimate(sorted(counts))
     spark = cases.sparkSession
     good = [(*k, w) for k, w in weights.items() if w >= posterior]
     table = spark.createDataFrame(good or [(9,) * len(columns) + (0.0,)], ", ".join(f"{c} int" for c in columns) + ", weight double")
-    # The exact check: no known component of the building differs.
-    links = pairs.join(F.broadcast(table), columns, "left_semi").where("(v_town = 2 OR v_town = 1 AND v_label = 2) AND v_street > 0 AND v_letter = 2 AND v_building = 2").select("x", "y")
+    # The exact check: no component of the building differs.
+    same_street = "(v_street > 0 OR loose AND v_postcode = 2 AND v_label = 2)"
+    exact = f"(v_town = 2 OR v_town = 1 AND v_label = 2) AND {same_street} AND v_letter = 2 AND v_building = 2"
+    links = pairs.join(F.broadcast(table), columns, "left_semi").where(exact).select("x", "y")
     members = records.select("code", "case_id")
     u, v = members.alias("u"), members.alias("v")
     same = u.join(v, F.expr("u.code = v.code AND u.case_id < v.case_id")).select(F.col("u.case_id").alias("i"), F.col("v.case_id").alias("j"))
