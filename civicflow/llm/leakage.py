@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
-MASK = (1 << 64) - 1
+_PRIME = (1 << 61) - 1
 #: Up to so many item words are sent to every worker; beyond it seeds meet by a shuffled join.
 BROADCAST_WORDS = 2_000_000
 
@@ -71,16 +71,25 @@ def tiles(a: list, b: list, min_length: int) -> list[tuple[int, int, int]]:
     Each pass hashes the unmarked runs of ``min_length`` words, extends the runs that meet and marks the
     longest matches first; matches that a longer one took words from are looked for in the next pass."""
     free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    codes: dict = {}
+    first = pow(_BASE, min_length, _PRIME)
 
-    def runs(words: list, free: list[bool]) -> Iterator[tuple[tuple, int]]:
-        since = 0
+    def runs(words: list, free: list[bool]) -> Iterator[tuple[int, int]]:
+        """(hash, start) of each unmarked run; the hash rolls on word by word and starts anew after a marked one."""
+        since = total = 0
         for k, ok in enumerate(free):
-            since = since + 1 if ok else 0
+            if not ok:
+                since = total = 0
+                continue
+            since += 1
+            total = (total * _BASE + codes.setdefault(words[k], len(codes) + 1)) % _PRIME
+            if since > min_length:
+                total = (total - codes[words[k - min_length]] * first) % _PRIME
             if since >= min_length:
-                yield tuple(words[k - min_length + 1 : k + 1]), k - min_length + 1
+                yield total, k - min_length + 1
 
     while True:
-        index: dict[tuple, list[int]] = defaultdict(list)
+        index: dict[int, list[int]] = defaultdict(list)
         for run, j in runs(b, free_b):
             index[run].append(j)
         matches = []
@@ -88,10 +97,11 @@ def tiles(a: list, b: list, min_length: int) -> list[tuple[int, int, int]]:
             for j in index.get(run, ()):
                 if i and j and a[i - 1] == b[j - 1] and free_a[i - 1] and free_b[j - 1]:
                     continue  # part of a longer match that starts earlier
-                n = min_length
+                n = 0
                 while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
                     n += 1
-                matches.append((n, i, j))
+                if n >= min_length:  # runs that differ may share a hash
+                    matches.append((n, i, j))
         if not matches:
             return out
         for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
@@ -104,9 +114,10 @@ SCHEMA = "{key} {kind}, item_id bigint, tiles int, longest int, covered int, cov
 
 
 def leaks(
-    documents: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", min_words: int = 12, broadcast_words: int = BROADCAST_WORDS
+    documents: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", min_words: int = 12, broadcast_words: int = BROADCAST_WORDS, coverage: float = 0.0
 ) -> DataFrame:
-    """One row for each document and item with at least one tile of ``min_words`` words."""
+    """One row for each document and item with at least one tile of ``min_words`` words whose tiles cover
+    at least the share ``coverage`` of the item's words."""
     docs = documents.select(F.col(key), F.col(column).alias("t")).where(F.length("t") >= 2 * min_words - 1)
     tests = items.select(F.col("item_id").cast("bigint"), F.col("text").alias("it")).where(F.length("it") >= 2 * min_words - 1)
     size = tests.agg(F.sum(F.length("it"))).first()[0] or 0
@@ -119,7 +130,8 @@ def leaks(
         runs = docs.select(F.xxhash64(key, "t").alias("code"), "t").mapInArrow(_all_runs(min_words, "code"), "run bigint, code bigint")
         hits = runs.join(seeds, "run").select("code", "item_id").distinct()
         pairs = hits.join(tests.distinct(), "item_id").join(docs.withColumn("code", F.xxhash64(key, "t")), "code").select(key, "t", "item_id", "it")
-    return pairs.mapInArrow(_tile(min_words, key), SCHEMA.format(key=f"`{key}`", kind=kind))
+    found = pairs.mapInArrow(_tile(min_words, key), SCHEMA.format(key=f"`{key}`", kind=kind))
+    return found.where(F.col("coverage") >= coverage) if coverage > 0 else found
 
 
 def _all_runs(width: int, name: str):

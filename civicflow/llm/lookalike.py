@@ -77,7 +77,7 @@ def visible(text: str) -> str:
             continue
         elif ch in "‐‑":
             out.append("-")
-        elif (dec := unicodedata.decomposition(ch)).startswith(("<wide>", "<narrow>", "<noBreak>")):
+        elif "ﬀ" <= ch <= "ﬆ" or unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>", "<noBreak>", "<font>")):
             out.append(unicodedata.normalize("NFKC", ch))
         else:
             out.append(ch)
@@ -86,18 +86,20 @@ def visible(text: str) -> str:
 
 def prevailing(text: str) -> int:
     """The script of most letters that no other script shares a shape with; Cyrillic on a tie."""
-    cyr = lat = 0
+    cyr = lat = gre = 0
     for ch in text:
         if ch not in _CLASS:
             if "Ѐ" <= ch <= "ԯ":
                 cyr += 1
+            elif "Ͱ" <= ch <= "Ͽ" or "ἀ" <= ch <= "῾":
+                gre += 1
             elif ch < "ɐ" and ch.isalpha():
                 lat += 1
-    return LAT if lat > cyr else CYR
+    return GRE if gre > max(lat, cyr) else LAT if lat > cyr else CYR
 
 
 def _script(ch: str) -> int:
-    return CYR if "Ѐ" <= ch <= "ԯ" else GRE if "Ͱ" <= ch <= "Ͽ" else LAT
+    return CYR if "Ѐ" <= ch <= "ԯ" else GRE if "Ͱ" <= ch <= "Ͽ" or "ἀ" <= ch <= "῾" else LAT
 
 
 class Lookalikes:
@@ -115,21 +117,24 @@ class Lookalikes:
         if len(self.cache) > 500_000:
             self.cache.clear()
         get, floor = self.bigrams.get, self.FLOOR
+        # A Greek letter of no shared shape, or a Greek text, makes the word Greek; else Greek letters cost.
+        greek = context == GRE or any(ch not in _CLASS and _script(ch) == GRE for ch in word)
+        start, fine = (GRE, 0.0) if greek else (context, 20.0)
         paths: list[tuple[float, str, str, int]] = []  # score, form, last letter, script
         for k, ch in enumerate(word):
             states = _CLASS.get(ch) or ((ch, _script(ch)),)
             step = []
             for letter, script in states:
                 if k == 0:
-                    step.append((get("^" + letter, floor) + CONTEXT * (script == context) - 20.0 * (script == GRE), letter, letter, script))
+                    step.append((get("^" + letter, floor) + CONTEXT * (script == start) - fine * (script == GRE), letter, letter, script))
                 else:
                     best = max(
                         ((s + get(last + letter, floor) + (SWITCH if sc != script else 0.0), f, sc) for s, f, last, sc in paths),
                         key=lambda x: (x[0], x[1]),
                     )
-                    step.append((best[0] - 20.0 * (script == GRE), best[1] + letter, letter, script))
+                    step.append((best[0] - fine * (script == GRE), best[1] + letter, letter, script))
             paths = step
-        form = max(paths, key=lambda x: (x[0], x[3] == context, x[1]))[1]
+        form = max(paths, key=lambda x: (x[0], x[3] == start, x[1]))[1]
         self.cache[(word, context)] = form
         return form
 

@@ -5,8 +5,9 @@ letters set apart by spaces or dots and drawn-out letters are undone first. Each
 log-odds between abusive and other labelled messages under an informative Dirichlet prior (pooled counts
 of the sample, and pseudo-counts for stems that are abusive in general language). One scan in linear
 time finds all maximal-scoring segments of a text, the passages; the best scores of clean texts follow
-an extreme-value distribution whose fit turns a passage's score into a chance. A text is reported if
-its best passage beats the cut that separates the labelled sample best.
+an extreme-value distribution whose fit, with a location that grows with the logarithm of the text's length,
+turns a passage's score into the chance that a clean text of that length holds one as good. A text is reported
+if that chance is at most a level, which is set on labelled rows that the scores were not fitted on.
 
 Defined results: null, empty and blank texts score 0 and are not found; without usable labels the prior
 alone decides; contradictory labels of a message count as they are.
@@ -33,7 +34,6 @@ ABUSIVE_STEMS = (
     "сволоч твар мраз гнид урод ублюд дебил идиот кретин придур подонк скотин недочеловек дегенерат тупиц шлюх проститут "
     "порно секс интим эротич трахат сиськ bastard moron idiot scum nudes whore slut porn fuck"
 ).split()
-HARMLESS = ("сексолог", "уродил", "утвар", "скотн", "скотобойн")
 PRIOR = 100.0  # weight of the pooled counts
 SEED_WEIGHT = 8.0  # pseudo-count of a stem that is abusive in general language
 #: Signs that stand for letters, in Cyrillic and in Latin words.
@@ -89,12 +89,17 @@ class ToxicModel:
     other: float = -0.7
     location: float = 0.0  # Gumbel fit of the best score of a clean text
     scale: float = 1.0
-    cut: float = 4.0
+    words: float = 40.0  # mean length of a clean text
+    level: float = 0.02  # chance from which on a text is reported
     report: dict = field(default_factory=dict)
 
-    def chance(self, score: float) -> float:
-        """Chance that a clean text has a passage with at least this score."""
-        return -math.expm1(-math.exp(-(score - self.location) / self.scale))
+    def chance(self, score: float, words: int) -> float:
+        """Chance that a clean text of so many words has a passage with at least this score."""
+        location = self.location + self.scale * math.log(max(words, 1) / self.words)
+        return -math.expm1(-math.exp(-max(-700.0, (score - location) / self.scale)))
+
+    def found(self, score: float, words: int) -> bool:
+        return score > 0 and self.chance(score, words) <= self.level
 
     def scores(self, stems: list[str]) -> list[float]:
         """Score of each word: of the pair with the word before it where that is known, else its own."""
@@ -145,7 +150,7 @@ def passages(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def _seeded(word: str) -> bool:
-    return word.startswith(tuple(ABUSIVE_STEMS)) and not word.startswith(HARMLESS)
+    return word.startswith(tuple(ABUSIVE_STEMS))
 
 
 def _log_odds(bad: Counter, good: Counter, prior: Counter) -> dict[str, float]:
@@ -167,7 +172,33 @@ def _with_gaps(weights: dict[str, float]) -> dict[str, float]:
 
 
 def fit(labelled: list[tuple[str, int]], rounds: int = 3) -> ToxicModel:
-    """Word scores, extreme-value fit and cut from (text, label) rows.
+    """The model of all (text, label) rows, with the level that separates best where every half of the rows
+    is judged by the model of the other half."""
+    model = _fit(labelled, rounds)
+    if sum(y for t, y in labelled if t) >= 20:
+        reader, judged = Reader(), []
+        for part in (0, 1):
+            half = _fit(labelled[part::2], rounds)
+            for t, y in labelled[1 - part :: 2]:
+                if t:
+                    stems = reader(t)
+                    best = half.best(stems)
+                    judged.append((half.chance(best, len(stems)) if best > 0 else 1.0, y))
+        judged.sort()
+        total, hits, top = sum(y for _, y in judged), 0, (0.0, model.level)
+        for k, (chance, y) in enumerate(judged):
+            hits += y
+            following = judged[k + 1][0] if k + 1 < len(judged) else 1.0
+            f1 = 2 * hits / (k + 1 + total)
+            if chance < following and f1 > top[0] and chance < 0.5:
+                top = (f1, math.sqrt(max(chance, 1e-300) * max(following, 1e-300)))
+        model.level = top[1]
+        model.report |= {"f1": top[0], "level": model.level}
+    return model
+
+
+def _fit(labelled: list[tuple[str, int]], rounds: int) -> ToxicModel:
+    """Word scores and extreme-value fit from (text, label) rows.
 
     A label holds for a whole message, so after each round only the best passage of an abusive message
     counts as abusive; its other words count with the clean ones."""
@@ -207,23 +238,13 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3) -> ToxicModel:
             good.update(set(stems) - inside)
             bad2.update(set(pairs[a:b]) if inside else ())
             good2.update(set(pairs) - set(pairs[a:b]) if inside else pairs)
-    clean = [model.best(stems) for stems, y in rows if not y] or [0.0]
-    mean = sum(clean) / len(clean)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in clean) / len(clean))
+    clean = [(model.best(stems), len(stems)) for stems, y in rows if not y and stems] or [(0.0, 40)]
+    model.words = math.exp(sum(math.log(n) for _, n in clean) / len(clean))
+    mean = sum(x for x, _ in clean) / len(clean)
+    spread = math.sqrt(sum((x - mean) ** 2 for x, _ in clean) / len(clean))
     model.scale = max(spread * math.sqrt(6) / math.pi, 0.2)
     model.location = mean - 0.5772 * model.scale
-    ranked = sorted(((model.best(stems), y) for stems, y in rows), reverse=True)
-    total = sum(y for _, y in ranked)
-    hits, top = 0, (0.0, model.cut)
-    for k, (score, y) in enumerate(ranked):
-        hits += y
-        following = ranked[k + 1][0] if k + 1 < len(ranked) else 0.0
-        f1 = 2 * hits / (k + 1 + total) if total else 0.0
-        if score > following and f1 > top[0] and score > 1.0:
-            top = (f1, (score + max(following, 1.0)) / 2)
-    if total >= 10:
-        model.cut = top[1]
-    model.report = {"rows": len(rows), "abusive": total, "f1": top[0], "cut": model.cut}
+    model.report = {"rows": len(rows), "abusive": sum(y for _, y in rows)}
     return model
 
 
@@ -241,20 +262,22 @@ def score_messages(messages: DataFrame, model: ToxicModel, only_found: bool = Fa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
-            keep, score, chance, spans = [], [], [], []
+            keep, score, chance, spans, found = [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 stems = reader(text) if text else []
                 best = model.best(stems)
-                if only_found and best <= model.cut:
+                hit = model.found(best, len(stems))
+                if only_found and not hit:
                     continue
                 keep.append(k)
+                found.append(hit)
                 score.append(round(best, 6))
-                chance.append(model.chance(best) if best > 0 else 1.0)
-                spans.append([" ".join(stems[a:b]) for a, b, s in passages(model.scores(stems)) if s > model.cut] if best > model.cut else [])
+                chance.append(model.chance(best, len(stems)) if best > 0 else 1.0)
+                spans.append([" ".join(stems[a:b]) for a, b, s in passages(model.scores(stems)) if model.found(s, len(stems))] if hit else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(keep, pa.int64())), pa.array(score, pa.float64()), pa.array(chance, pa.float64()),
-                    pa.array(spans, pa.list_(pa.string())), pa.array([s > model.cut for s in score], pa.bool_()),
+                    pa.array(spans, pa.list_(pa.string())), pa.array(found, pa.bool_()),
                 ],
                 names=[key, "score", "chance", "passages", "found"],
             )

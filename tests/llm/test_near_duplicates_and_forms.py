@@ -29,6 +29,7 @@ def test_same_looks_same_form_and_other_looks_other_form():
     assert all(m.text(a + " дом") == m.text(b + " дом") for a, b in twins)
     others = [("дом", "Дом"), ("ее", "её"), ("a  b", "a b"), ("№", "No"), ("1", "l"), ("0", "О")]
     assert all(m.text(a + " дом") != m.text(b + " дом") for a, b in others)
+    assert m.text("Η ΟΜΟΝΟΙΑ ΣΤΗΝ ΠΛΑΤΕΙΑ ΩΣ") == "Η ΟΜΟΝΟΙΑ ΣΤΗΝ ΠΛΑΤΕΙΑ ΩΣ" and m.text("ﬁnance 𝐇𝐞𝐥𝐥𝐨") == "finance Hello"
     assert visible("👩‍👧") == "👩‍👧" and visible("да‍") == "да"
     assert m.text("cop in the building") == "cop in the building" and m.text("сор в избе") == "сор в избе"
 

@@ -33,6 +33,14 @@ def runs(a, b, n):
     return any(tuple(a[k : k + n]) in grams for k in range(len(a) - n + 1))
 
 
+def test_coverage_decides_where_asked(spark):
+    item = [f"w{k}" for k in range(40)]
+    d = spark.createDataFrame([(1, " ".join(item[:12])), (2, " ".join(item[20:] + ["x"] + item[:20]))], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    assert {(r.doc_id, r.coverage) for r in leakage.leaks(d, e).collect()} == {(1, 0.3), (2, 1.0)}
+    assert [r.doc_id for r in leakage.leaks(d, e, coverage=0.5).collect()] == [2]
+
+
 def test_tiles_cover_reordered_passages_and_never_overlap():
     rng = random.Random(2)
     for _ in range(60):
@@ -144,12 +152,12 @@ def test_toxic_model_on_held_out_rows(spark):
     model = toxicity.fit(labelled)
     read = toxicity.Reader()
     held = [(make(y), y) for y in [0, 1] * 100]
-    assert sum((model.best(read(t)) > model.cut) == bool(y) for t, y in held) >= 198
+    assert sum(model.found(model.best(read(t)), len(read(t))) == bool(y) for t, y in held) >= 198
     frame = spark.createDataFrame([(1, make(1)), (2, make(0)), (3, None), (4, ""), (5, "сволочь " * 4000)], "message_id bigint, text string").withColumn("score", F.lit("clash"))
     got = {r.message_id: r.found for r in toxicity.score_messages(frame, model).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: True}
     assert toxicity.fit([]).best(read("сволочь")) > 0 and toxicity.score_messages(frame.limit(0), model).count() == 0
-    assert 0 < model.chance(model.cut) < 0.2 and model.chance(50.0) < 1e-6
+    assert 0 < model.level < 0.2 and model.chance(50.0, 30) < 1e-6 and model.chance(3.0, 30) < model.chance(3.0, 300)
 
 
 @pytest.mark.parametrize(
