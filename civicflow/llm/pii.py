@@ -143,29 +143,28 @@ def street_stem(word: str) -> str:
 
 
 def find_spans(messages: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, form, a, b, kind, certain, words, patterns) of every span."""
+    """(key, digest, a, b, kind, certain, words, patterns) of every span: places in the visible form of the
+    text with this digest, so that no span carries its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Lookalikes()
         for batch in batches:
-            rows, keep, forms = [], [], []
+            rows, keep = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                form = model.text(text)
-                found = spans_of(form)
-                if found:
-                    rows += found
-                    keep += [k] * len(found)
-                    forms += [form] * len(found)
+                found = spans_of(model.text(text))
+                rows += found
+                keep += [k] * len(found)
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(forms, pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                names=[key, "form", "a", "b", "kind", "certain", "words", "patterns"],
+                [*(batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 2)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
+                names=[key, "digest", "a", "b", "kind", "certain", "words", "patterns"],
             )
 
     kind = dict(messages.dtypes)[key]
     rows = messages.select(key, F.col(column).alias("t")).where(F.col("t").rlike(MAY_HOLD) | ~final_form("t"))
-    return rows.where(F.length("t") > 3).mapInArrow(run, f"`{key}` {kind}, form string, {SPAN}")
+    rows = rows.where(F.length("t") > 3).withColumn("digest", F.xxhash64("t"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, digest bigint, {SPAN}")
 
 
 def bootstrap(uses: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -190,13 +189,13 @@ def bootstrap(uses: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[DataF
 
 
 def personal_spans(messages: DataFrame, key: str = "message_id", column: str = "text", word_score: float = 0.5, pattern_score: float = 0.6) -> DataFrame:
-    """(key, form, a, b, kind): the accepted spans."""
+    """(key, digest, a, b, kind): the accepted spans."""
     spans = materialize(find_spans(messages, key, column), "pii-spans")
     contextual = spans.where(F.size("words") > 0).select("kind", "certain", "words", F.explode("patterns").alias("pattern"))
     uses = contextual.select("kind", F.explode("words").alias("word"), "pattern").groupBy("kind", "word", "pattern").agg(F.count(F.lit(1)).alias("n"))
     seeds = spans.where("certain").select("kind", F.explode("words").alias("word")).groupBy("kind", "word").count().where("count >= 2").select("kind", "word")
     instances, patterns = bootstrap(materialize(uses, "pii-uses"), seeds)
-    unsure = spans.where("NOT certain").select(key, "form", "a", "b", "kind", "words", "patterns").withColumn("code", F.xxhash64(key, "form", "a", "b"))
+    unsure = spans.where("NOT certain").select(key, "digest", "a", "b", "kind", "words", "patterns").withColumn("code", F.xxhash64(key, "digest", "a", "b"))
     by_word = (
         unsure.select("code", "kind", F.explode("words").alias("word")).distinct().join(instances, ["kind", "word"], "left")
         .groupBy("code").agg(F.first("kind").alias("kind"), F.min(F.coalesce("score", F.lit(0.0))).alias("least"), F.max(F.coalesce("score", F.lit(0.0))).alias("most"))
@@ -206,18 +205,20 @@ def personal_spans(messages: DataFrame, key: str = "message_id", column: str = "
     # An unseen street is known by its pattern alone, as its form is already telling; a name needs one good word.
     good = by_word.join(by_pattern, "code").where((F.col("least") >= word_score) | (likely & ((F.col("most") >= 0.9) | (F.col("kind") == "address"))))
     taken = unsure.join(good.select("code"), "code", "left_semi")
-    return spans.where("certain").select(key, "form", "a", "b", "kind").unionByName(taken.select(key, "form", "a", "b", "kind"))
+    return spans.where("certain").select(key, "digest", "a", "b", "kind").unionByName(taken.select(key, "digest", "a", "b", "kind"))
 
 
 def masked_texts(messages: DataFrame, spans: DataFrame, key: str = "message_id", column: str = "text") -> DataFrame:
     """(key, masked, n): every text with its spans replaced by <EMAIL>, <PHONE>, <ID_NUMBER>, <ADDRESS>, <NAME>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Lookalikes()
         for batch in batches:
             out, counts = [], []
-            for form, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                end, n = len(form) + 1, 0
-                for m in sorted(marks, key=lambda m: (-m["a"], -m["b"])):
+            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                form = model.text(text) if marks else text
+                end, n = len(form or "") + 1, 0
+                for m in sorted(marks or (), key=lambda m: (-m["a"], -m["b"])):
                     if m["b"] <= end:
                         form = f"{form[: m['a']]}<{m['kind'].upper()}>{form[m['b'] :]}"
                         end, n = m["a"], n + 1
@@ -226,6 +227,7 @@ def masked_texts(messages: DataFrame, spans: DataFrame, key: str = "message_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=[key, "masked", "n"])
 
     kind = dict(messages.dtypes)[key]
-    per = spans.distinct().groupBy(key, "form").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kind"))).alias("marks"))
-    changed = per.mapInArrow(run, f"`{key}` {kind}, masked string, n int")
-    return messages.select(key, F.col(column).alias("t")).join(changed, key, "left").select(key, F.coalesce("masked", "t").alias("masked"), F.coalesce("n", F.lit(0)).alias("n"))
+    # The marks of one text, as many as it has spans, are joined to it once.
+    per = spans.distinct().groupBy(key, "digest").agg(F.collect_list(F.struct("a", "b", "kind")).alias("marks"))
+    rows = messages.select(key, F.col(column).alias("t")).withColumn("digest", F.xxhash64("t"))
+    return rows.join(per, [key, "digest"], "left").select(key, "t", "marks").mapInArrow(run, f"`{key}` {kind}, masked string, n int")
