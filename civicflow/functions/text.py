@@ -117,3 +117,19 @@ def epoch_or_iso(raw: Column) -> Column:
     number = F.try_to_number(raw, F.lit("9999999999999999"))
     seconds = F.when(number > 10_000_000_000, number / 1000).otherwise(number)
     return F.when(raw.rlike(r"^\d{9,16}$"), F.timestamp_seconds(seconds.cast("double"))).otherwise(F.try_to_timestamp(raw))
+
+
+#: Hosts and literal addresses of private, loopback, link-local, shared, multicast and reserved networks.
+_PRIVATE_HOST = (
+    r"(?i)^https?://(?:localhost|[^/:?#]*\.localhost|0\.|10\.|127\.|169\.254\.|192\.168\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\."
+    r"|172\.(?:1[6-9]|2\d|3[01])\.|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|(?:22[4-9]|2[34]\d|25[0-5])\."
+    r"|\[(?:::1?\]|::ffff:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:))"
+)
+
+
+def safe_url(url: Column) -> Column:
+    """Whether a web address may be fetched: http or https, no user, port 80 or 443, no private network by its text.
+
+    Names are not resolved, so a public name of a private address passes; null stays null."""
+    host = r"(?:\[[0-9a-fA-F:.]+\]|[^/@:?#\[\]]+)"
+    return url.rlike(rf"(?i)^https?://{host}(?::(?:80|443))?(?:[/?#][^@]*)?$|(?i)^https?://{host}(?::(?:80|443))?[/?#]") & ~url.rlike(_PRIVATE_HOST)

@@ -30,5 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == state:
             break
         state = seen
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     nodes = both(edges).select(F.col("a").alias("node")).distinct()
     return nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

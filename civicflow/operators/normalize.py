@@ -22,7 +22,7 @@ from civicflow.functions import text as T
 
 #: Elements whose text is dropped, and elements that end a line.
 SILENT = frozenset({"script", "style", "noscript", "template"})
-BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _TAG = re.compile(r"<[A-Za-z/!][^>]*>")
 _TOKENS = re.compile(r"[\w-]+")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import geodesy
-
+from civicflow.functions.text import safe_url
 from civicflow.operators import dedup, events, scoring
 from civicflow.plans.label_queries import _LATEST, _latest
 from civicflow.plans.registry import query
@@ -332,8 +332,7 @@ def pred02_telegram_channels(spark, d):
 
 @query("SELECT message_id, regexp_matches(url, '^https?://[^/@:]+(:(80|443))?(/|$|\\?)') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') AS safe FROM messages WHERE url IS NOT NULL")
 def pred03_url_safety(spark, d):
-    u = F.col("url")
-    return table(spark, d, "messages").where("url IS NOT NULL").select("message_id", (u.rlike(r"^https?://[^/@:]+(:(80|443))?(/|$|\?)") & ~u.rlike(r"^https?://(localhost|127\.|10\.|192\.168\.)")).alias("safe"))
+    return table(spark, d, "messages").where("url IS NOT NULL").select("message_id", safe_url(F.col("url")).alias("safe"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'forbidden' WHEN event_id % 7 = 1 THEN 'rate_limited' WHEN contains(lower(event_type), 'error') THEN 'captcha' ELSE 'open' END AS wall FROM events")

@@ -163,3 +163,12 @@ def test_greedy_rounds_that_do_not_settle_raise(spark):
     chain = spark.createDataFrame([(i, i + 1, 0.9) for i in range(5)], "a bigint, b bigint, similarity double")
     with pytest.raises(RuntimeError, match="not settled"):
         dedup.greedy_verdicts(rows, chain, max_rounds=1)
+
+
+def test_addresses_of_private_networks_are_not_safe(spark):
+    from civicflow.functions.text import safe_url
+
+    bad = ["http://172.16.0.1/", "http://172.31.9.9", "http://169.254.169.254/x", "http://0.0.0.0/", "http://[::1]/", "http://[fc00::1]/", "http://[fe80::1]:80/", "http://10.1.1.1", "http://localhost:80/", "ftp://a.test/", "http://u:p@a.test/", "http://a.test:8080/", "", "x"]
+    good = ["http://172.32.0.1/", "https://a.test", "https://a.test:443/x?y=1", "http://[2001:4860::1]/", "https://10.test/"[:8] + "b.test/a@b"]
+    rows = spark.createDataFrame([(u, u in good) for u in bad + good] + [(None, None)], "url string, want boolean")
+    assert [tuple(r) for r in rows.select("url", "want", safe_url(rows.url).alias("safe")).collect() if r[1] != r[2]] == []
