@@ -42,7 +42,7 @@ TRANSLITERATION = dict(
 #: Short forms of the words for kinds of streets and states; "" for words that tell nothing.
 SHORT_FORMS = {
     "ул": "улица", "наб": "набережная", "ал": "аллея", "пер": "переулок", "пр-т": "проспект", "пл": "площадь", "ш": "шоссе",
-    "респ": "республика", "кор-во": "королевство", "острова": "о-ва", "г-во": "", "государство": "", "д": "", "дом": "", "город": "",
+    "респ": "республика", "кор-во": "королевство", "острова": "о-ва", "г-во": "", "государство": "",
 }
 KINDS = frozenset(w for w in SHORT_FORMS.values() if w)
 KIND_WEIGHT = 0.2  # of the words for kinds, which tell little even where a short list makes them rare
@@ -85,8 +85,10 @@ def readings(value: str, forms: Lookalikes) -> list[str]:
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """(word in its full form, start, end) of a lower-case text; words that tell nothing are left out."""
-    found = ((SHORT_FORMS.get(m[0], m[0]), m.start(), m.end()) for m in _WORD.finditer(text))
-    return [f for f in found if f[0]]
+    found = [(SHORT_FORMS.get(m[0], m[0]), m.start(), m.end()) for m in _WORD.finditer(text)]
+    # "д" before a number is a house; before a word it is a first part.
+    house = lambda k: found[k][0] in ("д", "дом") and k + 1 < len(found) and found[k + 1][0][0:1].isdigit()
+    return [f for k, f in enumerate(found) if f[0] and not house(k)]
 
 
 def tokens(reading: str) -> list[tuple[int, int, str]]:
