@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.session import materialize
+from civicflow.session import materialize, release
 
 # What counts as one whole for each indicator, and where the bands begin.
 REFERENCES = {"intensity": 20.0, "persistence": 168.0, "connectivity": 20.0, "spatial_spread": 2000.0}
 MEDIUM, HIGH, CRITICAL = 0.25, 0.50, 0.75
 LARGE_PER_BITMAP = 64  # messages a bitmap from which bitmaps move less than rows
 
+FEW = 100_000  # events that every worker may hold the codes of
+
 
 def connections(members: DataFrame) -> DataFrame:
     """(source_event_id, target_event_id, shared, jaccard) of events that share messages; (event_id, message_id) rows.
@@ -81,6 +85,63 @@ def external_connectivity(members: DataFrame, edges: DataFrame) -> DataFrame:
     return by_rows.unionByName(by_bits.where("connectivity > 0"))
 
 
+def connectivity(members: DataFrame) -> DataFrame:
+    """(event_id, size, connectivity) of every event: its messages, and the distinct messages of its neighbours,
+    the events it shares one with, that it has not itself; (event_id, message_id) rows, those with a null count for nothing.
+
+    The sizes of the neighbours are added up. A message that several of them hold is counted too often: two of them
+    that hold it are neighbours as well, so this is found from the triangles of events, and no row a message and
+    neighbour is made. Messages of the same events go together."""
+    rows = members.select("event_id", "message_id").where("event_id IS NOT NULL AND message_id IS NOT NULL")
+    held = materialize(rows.groupBy("message_id").agg(F.collect_set("event_id").alias("ids")).select("ids"), "message-events")
+    nodes = held.select(F.explode("ids").alias("event_id"), (F.size("ids") - 1).alias("shared"))
+    nodes = materialize(nodes.groupBy("event_id").agg(F.count(F.lit(1)).alias("size"), F.sum("shared").alias("shared")), "event-sizes")
+    code = lambda c, seed: F.xxhash64(c, F.lit(seed))
+    seed = next(s for s in itertools.count() if nodes.groupBy(code("event_id", s).alias("c")).count().where("count > 1").isEmpty())
+    sizes = nodes.select(code("event_id", seed).alias("c"), "size")
+
+    coded = held.where(F.size("ids") > 1).select(F.array_sort(F.transform("ids", lambda e: code(e, seed))).alias("s"))
+    edges = materialize(_pairs(coded).select("x", "y").distinct(), "event-pairs")
+    links = materialize(edges.join(sizes.toDF("x", "sx"), "x"), "event-pairs-sized")
+    release(edges)
+    ends = F.struct(F.col("sx").alias("n"), F.col("x").alias("c")), F.struct(F.col("sy").alias("n"), F.col("y").alias("c"))
+    ordered = links.join(sizes.toDF("y", "sy"), "y").select(F.least(*ends).alias("v"), F.greatest(*ends).alias("p"))
+    edges = materialize(ordered.select(F.col("v.c").alias("v"), F.col("v.n").alias("sv"), F.col("p.c").alias("p"), F.col("p.n").alias("sp")), "event-links")
+    release(links)
+
+    end = lambda a, n, out: edges.select(F.col(a).alias("c"), F.col(n).alias("n"), F.lit(out).alias("out"))
+    around = end("v", "sp", True).unionByName(end("p", "sv", False)).groupBy("c")
+    around = materialize(around.agg(F.sum("n").alias("n"), (F.bool_or("out") & F.bool_or(~F.col("out"))).alias("between")), "event-reach")
+    out = nodes.withColumn("c", code("event_id", seed)).join(around.select("c", "n"), "c", "left")
+    total = F.coalesce(F.col("n") - F.col("shared"), F.lit(0))
+    if between := around.where("between").count():
+        middle = around.where("between").select(F.col("c").alias("m"))
+        out = out.join(_counted_again(coded, edges, F.broadcast(middle) if between <= FEW else middle), "c", "left")
+        total = total - F.coalesce("again", F.lit(0))
+    return out.select("event_id", "size", total.cast("bigint").alias("connectivity"))
+
+
+def _pairs(sets: DataFrame) -> DataFrame:
+    """(x, y, *) with x < y of each sorted array ``s``."""
+    rows = sets.select("*", F.posexplode("s").alias("i", "x"))
+    return rows.select("*", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y")).drop("i")
+
+
+def _counted_again(coded: DataFrame, edges: DataFrame, middle: DataFrame) -> DataFrame:
+    """(c, again): over the messages an event has not, the number of its neighbours that hold one, less one.
+
+    coded: the events ``s`` of each message; edges (v, p) in one order of the events; middle: those (m) with edges to both sides."""
+    after = edges.select(F.col("v").alias("m"), F.col("p").alias("q")).join(middle, "m", "left_semi")
+    paths = edges.select("v", F.col("p").alias("m")).join(middle, "m", "left_semi").join(after, "m")
+    closed = materialize(paths.join(edges.select("v", F.col("p").alias("q")), ["v", "q"], "left_semi"), "event-triangles")
+    roles = [F.struct(F.col(c).alias("c"), F.least(a, b).alias("x"), F.greatest(a, b).alias("y")) for c, a, b in (("v", "m", "q"), ("m", "v", "q"), ("q", "v", "m"))]
+    roles = closed.select(F.explode(F.array(*roles)).alias("r")).select("r.*")
+    groups = materialize(coded.groupBy("s").agg(F.count(F.lit(1)).alias("w")).withColumn("g", F.monotonically_increasing_id()), "event-groups")
+    met = _pairs(groups).join(roles, ["x", "y"]).where(~F.array_contains("s", F.col("c"))).groupBy("c", "g").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("pairs"))
+    # k neighbours that hold a message make k (k - 1) / 2 pairs.
+    return met.groupBy("c").agg(F.sum(F.col("w") * F.round((F.sqrt(1 + 8 * F.col("pairs")) - 1) / 2).cast("bigint")).alias("again"))
+
+
 def normalized(raw: Column, name: str) -> Column:
     """Share of the reference, at most 1; null stays null (``least`` alone would drop it)."""
     return F.when(raw.isNotNull(), F.least(F.lit(1.0), raw / REFERENCES[name]))

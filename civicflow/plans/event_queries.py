@@ -201,6 +201,10 @@ def r05_spread(spark, d):
     return _spread(spark, d)
 
 
+def _reach(members: DataFrame) -> DataFrame:
+    return scoring.connectivity(members).where("connectivity > 0").select("event_id", "connectivity")
+
+
 @query(f"{_EDGES}, {_REACHED} SELECT event_id, connectivity FROM c")
 def r10_external_connectivity(spark, d):
     m = _members(spark, d)
@@ -209,8 +213,7 @@ def r10_external_connectivity(spark, d):
 
 @query(f"{_WIDE_EDGES}, {_REACHED} SELECT event_id, connectivity FROM c")
 def r10_external_connectivity_wide(spark, d):
-    m = _wide_members(spark, d)
-    return scoring.external_connectivity(m, scoring.connections(m))
+    return _reach(_wide_members(spark, d))
 
 
 def _risks(members: DataFrame) -> DataFrame:

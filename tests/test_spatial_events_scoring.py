@@ -141,6 +141,17 @@ def test_connectivity_of_large_events_equals_brute_force(spark, monkeypatch, per
     assert {r.event_id: r.connectivity for r in scoring.external_connectivity(m, scoring.connections(m)).collect()} == want
 
 
+@pytest.mark.parametrize(("events_", "messages", "each"), [(12, 60, 9), (40, 30, 3), (80, 600, 9)])
+def test_connectivity_by_triangles_equals_brute_force(spark, monkeypatch, events_, messages, each):
+    monkeypatch.setattr(scoring, "FEW", 20)
+    rng = random.Random(7)
+    held = {"wide": {f"m{k}" for k in range(messages * 2 // 3)}, "alone": {"z"}} | {f"e{n}": {f"m{rng.randrange(messages)}" for _ in range(rng.randrange(1, each))} for n in range(events_)}
+    m = spark.createDataFrame([(e, i) for e, ids in held.items() for i in [*ids, min(ids)]] + [(None, "m1"), ("e1", None), ("none", None)], "event_id string, message_id string")
+    want = {e: (len(ids), len(set().union(*(other for other in held.values() if other & ids)) - ids)) for e, ids in held.items()}
+    assert {r.event_id: (r.size, r.connectivity) for r in scoring.connectivity(m).collect()} == want
+    assert scoring.connectivity(m.limit(0)).count() == 0
+
+
 def test_forest_edges_have_the_components_of_all_edges(spark):
     rng = np.random.default_rng(6)
     near = [(k, (rng.normal(size=64) * 0.06 + np.eye(64)[k % 9]).tolist()) for k in range(150)]
