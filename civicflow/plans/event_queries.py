@@ -207,8 +207,7 @@ def _reach(members: DataFrame) -> DataFrame:
 
 @query(f"{_EDGES}, {_REACHED} SELECT event_id, connectivity FROM c")
 def r10_external_connectivity(spark, d):
-    m = _members(spark, d)
-    return scoring.external_connectivity(m, scoring.connections(m))
+    return _reach(_members(spark, d))
 
 
 @query(f"{_WIDE_EDGES}, {_REACHED} SELECT event_id, connectivity FROM c")
