@@ -216,9 +216,8 @@ def r10_external_connectivity_wide(spark, d):
 
 
 def _risks(members: DataFrame) -> DataFrame:
-    m = materialize(members, "event-members")
-    base = m.groupBy("event_id").agg(F.countDistinct("message_id").alias("size"), F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("b"))
-    linked = base.join(scoring.external_connectivity(m, scoring.connections(m)), "event_id", "left").withColumn("connectivity", F.coalesce("connectivity", F.lit(0)))
+    times = members.groupBy("event_id").agg(F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("b"))
+    linked = times.join(scoring.connectivity(members), "event_id", "left").fillna(0, ["size", "connectivity"])
     linked = linked.withColumn("spread", F.when(F.col("event_id").startswith("d"), F.col("size") * 10.0))
     value = scoring.score({"intensity": F.col("size"), "persistence": scoring.duration_hours(F.col("a"), F.col("b")), "connectivity": F.col("connectivity"), "spatial_spread": F.col("spread")})
     return linked.select("event_id", F.round(value + 1e-9, 6).alias("score")).select("event_id", "score", scoring.band(F.col("score")).alias("band"))
