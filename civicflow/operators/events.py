@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.session import materialize
 
 DIMENSIONS, COSINE, MIN_SCOPE, MIN_CLUSTER = 64, 0.72, 5, 2
+NEAR = 2e-7  # a dimension, beyond what single precision adds to or takes from a product of unit vectors
 WORD = "[A-Za-zА-Яа-яЁё][0-9A-Za-zА-Яа-яЁё-]+"
 #: Words that tell nothing about an event.
 STOP_WORDS = (
@@ -80,29 +81,46 @@ def cosine_edges(vectors: DataFrame, threshold: float = COSINE, block: int = 409
     left = rows.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("scope", F.col("part").alias("p"), F.col("other").alias("q"), "key", "vector", F.lit(0).alias("side"))
     right = rows.where("part > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).select("scope", F.col("other").alias("p"), F.col("part").alias("q"), "key", "vector", F.lit(1).alias("side"))
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda f: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.array(f["vector"].tolist(), dtype=float).reshape(len(f), -1))
-        a, b = frame[frame.side == 0], frame[frame.side == 1]
-        one = len(b) == 0 and frame.p.iloc[0] == frame.q.iloc[0]
-        b = a if one else b
-        if not len(a) or not len(b):
-            return pd.DataFrame({"scope": [], "a": [], "b": []})
-        if forest:
-            u, v, step = unit(a), unit(b), 512
-            hits = (np.nonzero(u[k : k + step] @ v.T >= threshold - 1e-12) for k in range(0, len(u), step))
-            shift = 0 if one else len(a)
-            root = _forest(shift + len(b), ((i + n * step, j + shift) for n, (i, j) in enumerate(hits)))
-            keys = a.key.to_numpy() if one else np.concatenate([a.key.to_numpy(), b.key.to_numpy()])
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            x, y = keys[moved], keys[root[moved]]
-            return pd.DataFrame({"scope": frame.scope.iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y)})
-        i, j = np.nonzero(unit(a) @ unit(b).T >= threshold - 1e-12)
-        x, y = a.key.to_numpy()[i], b.key.to_numpy()[j]
-        keep = x < y if one else np.ones(len(x), bool)
-        return pd.DataFrame({"scope": frame.scope.iloc[0], "a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
+    def compare(table: pa.Table) -> pa.Table:
+        scope, keys, side = table["scope"][0].as_py(), table["key"].to_numpy(), table["side"].to_numpy()
+        m = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        one = not side.any() and table["p"][0] == table["q"][0]
+        u, v, a, b = (m, m, keys, keys) if one else (m[side == 0], m[side == 1], keys[side == 0], keys[side == 1])
+        x = y = keys[:0]
+        if len(a) and len(b):
+            hits = _alike(u, v, threshold - 1e-12)
+            if forest:
+                shift = 0 if one else len(a)
+                root = _forest(shift + len(b), ((i, j + shift) for i, j in hits))
+                both = a if one else np.concatenate([a, b])
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                x, y = both[moved], both[root[moved]]
+            else:
+                i, j = (np.concatenate(k) for k in zip(*hits, strict=True))
+                x, y = a[i], b[j]
+                keep = x < y if one else np.ones(len(x), bool)
+                x, y = x[keep], y[keep]
+        kinds = table.schema.field("scope").type, table.schema.field("key").type
+        return pa.table({"scope": pa.array([scope] * len(x), kinds[0]), "a": pa.array(np.minimum(x, y), kinds[1]), "b": pa.array(np.maximum(x, y), kinds[1])})
 
     kind = dict(vectors.dtypes)
-    return left.unionByName(right).groupBy("scope", "p", "q").applyInPandas(compare, f"scope {kind['scope']}, a {kind['key']}, b {kind['key']}")
+    return left.unionByName(right).groupBy("scope", "p", "q").applyInArrow(compare, f"scope {kind['scope']}, a {kind['key']}, b {kind['key']}")
+
+
+def _alike(u: np.ndarray, v: np.ndarray, least: float):
+    """(i, j) with u[i] @ v[j] >= least, in chunks, of unit vectors; products in single precision that are close
+    to ``least`` are made again in double."""
+    short, low, step, near = u.astype(np.float32), v.astype(np.float32).T, max(1, 2_000_000 // len(v)), NEAR * (u.shape[1] + 2)
+    for k in range(0, len(u), step):
+        product = (short[k : k + step] @ low).ravel()
+        at = np.flatnonzero(product >= least - near)
+        i, j = at // len(v) + k, at % len(v)
+        sure = product[at] >= least + near
+        close = np.flatnonzero(~sure)
+        for c in np.array_split(close, len(close) // 100_000 + 1):
+            sure[c] = np.einsum("ij,ij->i", u[i[c]], v[j[c]]) >= least
+        yield i[sure], j[sure]
 
 
 def clusters(vectors: DataFrame, edges: DataFrame, least: int = MIN_CLUSTER, allow_single: bool = True) -> DataFrame:

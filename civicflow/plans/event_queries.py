@@ -280,7 +280,7 @@ def pipeline_events(spark, d) -> DataFrame:
     words = rows.select("message_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(events.WORD), F.lit(0))).alias("word"))
     vectors = events.hashing_embedding(words, "message_id")
     inputs = materialize(scoped.join(vectors, "message_id").select(F.concat_ws("|", "level", "object_id").alias("scope"), "key", "vector"), "event-vectors")
-    edges = materialize(events.cosine_edges(inputs, block=2048, forest=True), "event-edges")
+    edges = materialize(events.cosine_edges(inputs, block=16_384, forest=True), "event-edges")
     found = events.clusters(inputs, edges)
     members = materialize(scoped.join(found.select("key", "cluster"), "key"), "event-members")
     return events.aggregate_events(members).select("event_id", "level", "object_id", "size", "category", "topic", "started_at", "ended_at", "message_ids")

@@ -84,6 +84,18 @@ def test_cosine_edges_in_blocks_equal_all_pairs(spark):
     assert found.count() == 0
 
 
+def test_cosines_near_the_least_are_decided_in_double_precision():
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=(300, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    exact = np.einsum("ik,jk->ij", u, u[:200])
+    for least in np.sort(exact.ravel())[[50_000, 55_000, 59_000]]:
+        cut = least + 1e-12
+        got = {(i, j) for part in events._alike(u, u[:200], cut) for i, j in zip(*part, strict=True)}
+        assert got == {(i, j) for i, j in zip(*np.nonzero(exact >= cut), strict=True)}
+    assert sum(len(i) for i, _ in events._alike(np.zeros((3, 4)), np.zeros((2, 4)), 0.5)) == 0
+
+
 def test_scores_stay_null_when_an_indicator_is_missing(spark):
     rows = spark.createDataFrame([(10, 84.0, 10, 1000.0), (10, None, 10, 1000.0), (100, 500.0, 99, 9e9)], "s int, p double, c int, d double")
     value = scoring.score({"intensity": F.col("s"), "persistence": F.col("p"), "connectivity": F.col("c"), "spatial_spread": F.col("d")})
