@@ -4,14 +4,15 @@ A text is the set of its words in their visible form (problem 7), case folded. T
 their Jaccard similarity is at least ``similarity``. All words stand in one order, rare ones first; two
 sets that share ``o`` of their ``n`` words share at least ``k`` of the first ``n - o + k`` ones. So
 
-* light sets (at most ``boundary`` words) enumerate all subsets of ``k`` = 2 words of that beginning, but for
-  words of short inverted lists (at most the share ``SHORT`` of all sets), whose lists are scanned, as a subset would save nothing;
-* heavy sets scan the inverted lists of the single words of it (``k`` = 1).
+* heavy sets (more than ``boundary`` words) scan the inverted lists of the single words of it (``k`` = 1);
+* light sets enumerate subsets of it: where the list of a word is longer than ``LEAF`` rows, its sets are told apart by the
+  next word of the beginning, and so on up to ``DEPTH`` words, so the lists that are compared stay short while the table grows.
 
-Both ways are exact. The shorter set of a pair needs the smaller beginning, the longer one the larger. The
-boundary is where the rows moved by both ways, from the histogram of sizes, are least. Keys that hold
-many sets are split by salts. Every row carries 64 parities of its set's words: two sets differ by at least as
-many words as parities, so most candidates fall where they meet. The rest are verified exactly.
+Both ways are exact: a pair meets where the first words that it shares lead. The shorter set of a pair needs the smaller
+beginning, the longer one the larger. The boundary is where the rows of both ways, from the histogram of sizes, are least.
+Only the inverted lists of single words are shuffled; their rows carry the next words of the beginning, so subsets are made where
+a list is read. Keys that hold many sets are split by salts. Every row carries 128 parities of its set's words: two
+sets differ by at least as many words as parities, so most candidates fall where they meet. The rest are verified exactly.
 
 Defined results: null texts and texts of fewer than ``min_words`` words link to nothing; equal texts
 link; repeated rows are collapsed before the join and expanded after it.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,11 @@ from civicflow.session import materialize
 _WORD = re.compile(r"[^\W_]+")
 #: Words are ordered by the uses of their bucket, so the table that every worker holds has a fixed size.
 BUCKETS = 1 << 20
-KEY_BITS = 40  # of a subset; few subsets coincide by chance, and the verification drops them
-SHORT = 0.01  # share of all sets in a short inverted list; scanning these costs less than half of what the subsets do
-HOT_ROWS = 20_000  # rows of one key that one task takes; a key of more is split
+LEAF = 1_000  # rows that are compared with one another; more are told apart by a further word, which costs about as much
+DEPTH = 6  # words of a subset at most
+TURNS = 2  # parts of the lists that are on disk one after the other
+CHUNK = 200_000  # rows of whole lists that a worker holds
+HOT_ROWS = 200_000  # rows of one key that one task takes; a key of more is split
 HOT_SAMPLE = 5_000  # sets looked at to find keys to split; only the balance of tasks depends on it
 
 
@@ -99,54 +103,53 @@ def _mix(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Both sides of the join read all columns, so the rows are shuffled once.
-_KEYS = "key bigint, set_id bigint, parity bigint, role bigint"
-_ROLE = 20  # bits of each number in ``role``; longer sets share the last value, which only admits more candidates
+#: ``role`` holds the size of the set, the place of the word in it, and whether the row meets others as the shorter and as the longer
+#: set; ``rest`` the following words of the beginning, 16 bits each, if the list may be too long to be scanned.
+_ROWS = "key bigint, set_id bigint, parity bigint, other bigint, role bigint, rest binary"
+_SIZE = 30  # bits of each number in ``role``
 
 
-def _keys(sets: DataFrame, uses, short: int, similarity: float, boundary: int, salts: dict[int, int]) -> DataFrame:
-    """(key, set_id, parity, role): as the shorter set a row meets rows with ``own`` between ``lo`` and ``hi``;
-    ``own`` is the size of the set where it may be the longer one, else 0. ``role`` holds lo, hi and own."""
-    most = (1 << _ROLE) - 1
+def _parities(flat: np.ndarray, start: np.ndarray, bit: int) -> np.ndarray:
+    return np.bitwise_xor.reduceat(np.uint64(1) << (flat >> np.uint64(bit) & np.uint64(63)), start).view(np.int64) if len(flat) else np.zeros(0, dtype=np.int64)
+
+
+def _lists(sets: DataFrame, uses, similarity: float, boundary: int, leaf: int, salts: dict[int, int], turn: int, turns: int) -> DataFrame:
+    """The rows of the inverted lists whose keys have their ``turn``."""
     salted = np.array(sorted(salts), dtype=np.int64)
     parts = np.array([salts[k] for k in sorted(salts)], dtype=np.int64)
+    salt = lambda k, p: _mix(k.view(np.uint64), p.astype(np.uint64) + np.uint64(5)).view(np.int64)
 
-    def of_size(n: int, words: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, int]]:
-        """(keys, their rows, lo, hi, own) of sets of one size, whose words are in order."""
-        for first, last in ((0, boundary), (boundary + 1, 1 << 30)):
-            light = last == boundary
-            lo, hi, own = max(n, first), min(math.floor(n / similarity + 1e-9), last), n if first <= n <= last else 0
-            for k in (1, 2) if light else (1,):
-                shorter, longer = beginnings(n, similarity, k)
-                reach = longer if own else shorter if hi >= lo else 0
-                if reach < k:
-                    continue
-                if k == 2:
-                    i, j = np.triu_indices(reach, 1)
-                    codes, keep = _mix(_mix(words[:, i], np.uint64(2)), words[:, j]), used[:, i] > short
-                else:
-                    j = np.arange(reach)
-                    codes, keep = _mix(words[:, :reach], np.uint64(1)), used[:, :reach] > 1
-                    if light:
-                        keep &= used[:, :reach] <= short
-                row, column = np.nonzero(keep)
-                yield (codes & np.uint64((1 << KEY_BITS) - 1))[row, column].view(np.int64), row, lo, np.where(j < shorter, hi if hi >= lo else 0, 0)[column], own
-
-    def split(keys: np.ndarray, row: np.ndarray, top: np.ndarray, own: int, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(keys, rows, hi, own) with the keys of many sets in parts: as the longer set a row of such a key goes
+    def split(keys: np.ndarray, ids: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(rows, keys, short, long), the keys of many sets in parts: as the longer set a row of such a key goes
         to one part, as the shorter one to all parts."""
-        hot = np.zeros(len(keys), dtype=bool)
-        if len(salted):
-            at = np.minimum(np.searchsorted(salted, keys), len(salted) - 1)
-            hot = salted[at] == keys
-            salt = lambda k, p: _mix(k.view(np.uint64), p.astype(np.uint64) + np.uint64(5)).view(np.int64)
-            part = _mix(ids[row[hot]].view(np.uint64), np.uint64(3)) % parts[at[hot]].astype(np.uint64)
-            yield salt(keys[hot], part), row[hot], np.zeros(hot.sum(), dtype=np.int64), np.full(hot.sum(), own)
-            many = hot & (top > 0)
-            times = parts[at[many]]
-            every = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            yield salt(np.repeat(keys[many], times), every), np.repeat(row[many], times), np.repeat(top[many], times), np.zeros(len(every), dtype=np.int64)
-        yield keys[~hot], row[~hot], top[~hot], np.full((~hot).sum(), own)
+        at = np.minimum(np.searchsorted(salted, keys), len(salted) - 1)
+        hot = salted[at] == keys
+        cool, once, many = np.flatnonzero(~hot), np.flatnonzero(hot), np.flatnonzero(hot & short)
+        part = _mix(ids[once].view(np.uint64), np.uint64(3)) % parts[at[once]].astype(np.uint64)
+        times = parts[at[many]]
+        every = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        rows = np.concatenate([cool, once, np.repeat(many, times)])
+        return (
+            rows, np.concatenate([keys[cool], salt(keys[once], part), salt(np.repeat(keys[many], times), every)]),
+            np.concatenate([short[cool], np.zeros(len(once), dtype=bool), np.ones(len(every), dtype=bool)]),
+            np.concatenate([np.ones(len(cool) + len(once), dtype=bool), np.zeros(len(every), dtype=bool)]),
+        )
+
+    def of_size(n: int, words: np.ndarray, used: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(rows, keys, roles, lengths and codes of the rest) of sets of one size, whose words are in order."""
+        shorter, longer = beginnings(n, similarity, 1)
+        end = min(beginnings(n, similarity, DEPTH)[1], n) if n <= boundary else 0
+        codes = (words[:, :end] >> np.uint64(36)).astype(np.uint16)
+        for j in range(longer):
+            keys = _mix(words[:, j], np.uint64(1))
+            rows = np.flatnonzero((used[:, j] > 1) & ((keys >> np.uint64(32)) % np.uint64(turns) == turn))
+            keys, short = keys[rows].view(np.int64), np.full(len(rows), j < shorter)
+            long = np.ones(len(rows), dtype=bool)
+            if len(salted):
+                own, keys, short, long = split(keys, ids[rows], short)
+                rows = rows[own]
+            deep = used[rows, j] > leaf if end > j + 1 else np.zeros(len(rows), dtype=bool)
+            yield rows, keys, (n << _SIZE + 2) + (j << 2) + 2 * short + long, np.where(deep, 2 * (end - j - 1), 0), codes[rows[deep], j + 1 : end].ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = uses.value
@@ -163,24 +166,191 @@ def _keys(sets: DataFrame, uses, short: int, similarity: float, boundary: int, s
                 order = np.lexsort((flat, used, owner))
                 flat, used = flat[order], used[order]
                 start = np.cumsum(n) - n
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat >> np.uint64(58)), start).view(np.int64) if len(flat) else np.zeros(0, dtype=np.int64)
-                ids = batch.column(0).to_numpy()
+                ids, parity, other = batch.column(0).to_numpy(), _parities(flat, start, 58), _parities(flat, start, 52)
+                found, held = [], 0
                 for size in np.unique(n):
                     rows = np.flatnonzero(n == size)
-                    # A slice of sets of one size, so that the subsets of long sets are made a few sets at a time.
-                    reach = beginnings(int(size), similarity, 2)[1]
-                    few = max(1, 2_000_000 // (reach * reach if size <= boundary else reach))
+                    # Long sets, whose rows are long too, are taken a few at a time.
+                    few = max(1, 4_000_000 // (int(size) * int(size)))
                     for s in range(0, len(rows), few):
                         part = rows[s : s + few]
                         places = start[part][:, None] + np.arange(size)
-                        for all_keys, rows_of, lo, tops, own in of_size(int(size), flat[places], used[places]):
-                            for keys, row, top, mine in split(all_keys, rows_of, tops, own, ids[part]):
-                                if len(keys):
-                                    role = (min(lo, most) << 2 * _ROLE) + (np.minimum(top, most) << _ROLE) + np.minimum(mine, most)
-                                    columns = [pa.array(c) for c in (keys, ids[part][row], parity[part][row], role.astype(np.int64))]
-                                    yield pa.RecordBatch.from_arrays(columns, names=["key", "set_id", "parity", "role"])
+                        for own, *columns in of_size(int(size), flat[places], used[places], ids[part]):
+                            if len(own):
+                                found.append((part[own], *columns))
+                                held += len(own) * 40 + 2 * len(columns[3])
+                                if held > 20_000_000:
+                                    yield batch_of(found, ids, parity, other)
+                                    found, held = [], 0
+                if found:
+                    yield batch_of(found, ids, parity, other)
+
+    def batch_of(found: list[tuple[np.ndarray, ...]], ids: np.ndarray, parity: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        rows, keys, roles, lengths, codes = (np.concatenate(c) for c in zip(*found, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        rest = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
+        columns = [pa.array(c) for c in (keys, ids[rows], parity[rows], other[rows], roles.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*columns, rest], names=["key", "set_id", "parity", "other", "role", "rest"])
+
+    return sets.select("set_id", "words").mapInArrow(run, _ROWS)
+
+
+class _Meeting:
+    """Whole inverted lists, where candidates meet. An element is a word of a row that the subset of its node of the tree ends with."""
+
+    BLOCK, WIDE, FEW, GROW = 64, 4_096, 128, 1_500_000
+
+    def __init__(self, rows: pa.Table, similarity: float, boundary: int, leaf: int):
+        role = rows.column("role").to_numpy()
+        n, pos = role >> _SIZE + 2, (role >> 2) & ((1 << _SIZE) - 1)
+        # The shorter set of a pair comes first; of two of one size, one that may be it.
+        order = np.argsort(2 * n + 1 - (role >> 1 & 1), kind="stable")
+        rest = rows.column("rest").combine_chunks()
+        rest = pa.concat_arrays(rest.chunks) if isinstance(rest, pa.ChunkedArray) else rest
+        offsets = np.frombuffer(rest.buffers()[1], dtype=np.int32)[rest.offset : rest.offset + len(rest) + 1].astype(np.int64) // 2
+        codes = np.frombuffer(rest.buffers()[2], dtype=np.uint16) if rest.buffers()[2] is not None and rest.buffers()[2].size else np.zeros(0, dtype=np.uint16)
+        self.boundary, self.leaf = boundary, leaf
+        self.n, self.pos, role = n[order], pos[order], role[order]
+        self.short, self.long = (role & 2) > 0, (role & 1) > 0
+        key, self.ids, self.parity, self.other = (rows.column(c).to_numpy()[order] for c in ("key", "set_id", "parity", "other"))
+        self.parity, self.other = self.parity.view(np.uint64), self.other.view(np.uint64)
+        length = np.diff(offsets)[order]
+        self.start = np.cumsum(length + 1) - (length + 1)
+        self.owner = np.repeat(np.arange(len(order)), length + 1)
+        place = np.arange(len(self.owner)) - self.start[self.owner]
+        self.codes = np.zeros(len(self.owner), dtype=np.uint64)
+        inner = place > 0
+        self.codes[inner] = codes[(offsets[:-1][order][self.owner] + place - 1)[inner]]
+        sizes, at = np.unique(self.n, return_inverse=True)
+        of = lambda f: np.array([f(int(x)) for x in sizes], dtype=np.int64)[at]
+        self.shorter, self.longer = of(lambda x: beginnings(x, similarity, 0)[0]), of(lambda x: beginnings(x, similarity, 0)[1])
+        self.least = of(lambda x: x - beginnings(x, similarity, 0)[0])  # words shared with a set that is not shorter
+        self.most = of(lambda x: math.floor(x / similarity + 1e-9))
+        #: Two sets differ in at most this share of the words of both.
+        self.share = (1 - similarity) / (1 + similarity)
+        self.limit = np.minimum(2 * self.n * self.share + 1e-6, 64).astype(np.uint8)
+        self.bits = np.uint64(len(self.owner).bit_length() + 1)
+        self.seen: list[np.ndarray] = []
+        self.compared = 0
+        self._visit(self._sorted(key.view(np.uint64), self.start, self.short), 1)
+
+    def _sorted(self, node: np.ndarray, element: np.ndarray, short: np.ndarray) -> np.ndarray:
+        mixed = _mix(node, np.uint64(7))
+        return np.sort((mixed << self.bits) | (element.astype(np.uint64) << np.uint64(1)) | short.astype(np.uint64))
+
+    def pairs(self) -> pa.RecordBatch:
+        """(a, b) of the sets that may be linked, each pair once."""
+        i, j = (np.concatenate([x[k] for x in self.seen]) if self.seen else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        ids, code = np.unique(self.ids, return_inverse=True)
+        both = np.unique(np.minimum(code[i], code[j]) * len(ids) + np.maximum(code[i], code[j]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[both // max(1, len(ids))]), pa.array(ids[both % max(1, len(ids))])], names=["a", "b"])
+
+    def _visit(self, elements: np.ndarray, k: int) -> None:
+        """``elements``: those of whole nodes at depth ``k``, in order."""
+        node = elements >> self.bits
+        cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, dtype=np.int64)
+        count = np.diff(np.append(cuts, len(node)))
+        short = (elements & np.uint64(1)) > 0
+        alive = (count > 1) & (np.add.reduceat(short, cuts, dtype=np.int64) > 0) if len(cuts) else count > 1
+        element = ((elements & ((np.uint64(1) << self.bits) - np.uint64(1))) >> np.uint64(1)).astype(np.int64)
+        row = self.owner[element]
+        large = alive & (count > min(self.FEW, self.leaf))
+        self._few(row, short, cuts[alive & ~large], count[alive & ~large])
+        deeper = large & (count > self.leaf) if k < DEPTH else np.zeros(len(cuts), dtype=bool)
+        parity, limit, size = self.parity[row], self.limit[row], self.n[row]
+        for g in np.flatnonzero(large):
+            lo, hi = int(cuts[g]), int(cuts[g] + count[g])
+            if not deeper[g]:
+                self._blocks(row, short, parity, limit, size, lo, hi, hi, lo)
+                continue
+            light = lo + int(np.searchsorted(size[lo:hi], self.boundary, "right")) if k == 1 else hi
+            if light < hi:  # heavy sets meet all others here
+                self._blocks(row, short, parity, limit, size, lo, hi, hi, light)
+            brief = lo + int(np.searchsorted(self.least[row[lo:light]], k, "right"))
+            if brief > lo:  # sets that may share no more words than these
+                self._blocks(row, short, parity, limit, size, lo, light, brief, lo)
+        self._deeper(row, element, short, cuts[deeper], count[deeper], k)
+
+    def _deeper(self, row: np.ndarray, element: np.ndarray, short: np.ndarray, cuts: np.ndarray, count: np.ndarray, k: int) -> None:
+        if not len(cuts):
+            return
+        group = np.repeat(np.arange(len(cuts)), count)
+        at = np.arange(count.sum()) + np.repeat(cuts - np.cumsum(count) + count, count)
+        row, element, short = row[at], element[at], short[at]
+        reach = np.where(self.long[row], self.longer[row], self.shorter[row]) + k + 1
+        times = np.maximum(0, self.start[row] + np.minimum(reach, self.n[row]) - self.pos[row] - element - 1)
+        times[self.n[row] > self.boundary] = 0
+        grown = np.cumsum(np.bincount(group, weights=times, minlength=len(cuts)))
+        turn = (grown // self.GROW).astype(np.int64)[group]
+        ends = np.append(np.flatnonzero(turn[1:] != turn[:-1]) + 1, len(turn))
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            t = times[lo:hi]
+            which = np.repeat(np.arange(lo, hi), t)
+            following = element[which] + 1 + np.arange(len(which)) - np.repeat(np.cumsum(t) - t, t)
+            owner = row[which]
+            also = short[which] & (self.pos[owner] + following - self.start[owner] < self.shorter[owner] + k + 1)
+            self._visit(self._sorted((group[which].astype(np.uint64) << np.uint64(16)) | self.codes[following], following, also), k + 1)
+
+    def _few(self, row: np.ndarray, short: np.ndarray, cuts: np.ndarray, count: np.ndarray) -> None:
+        """Pairs of small nodes: all elements and those a few places on."""
+        if not len(cuts):
+            return
+        order = np.argsort(-count, kind="stable")
+        cuts, count = cuts[order], count[order]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) + np.repeat(cuts - ends + count, count)
+        row, short, last = row[at], short[at], np.repeat(ends, count)
+        parity, limit = self.parity[row], self.limit[row]
+        for d in range(1, int(count[0])):
+            m = int(ends[np.searchsorted(-count, -d, "left") - 1])
+            self.compared += m - d
+            i = np.flatnonzero(np.bitwise_count(parity[: m - d] ^ parity[d:m]) <= limit[d:m])
+            self._keep(row, short, i[i + d < last[i]], d)
+
+    def _blocks(self, row, short, parity, limit, size, lo: int, hi: int, rows_end: int, columns_from: int) -> None:
+        """Pairs of the node between ``lo`` and ``hi``, the shorter set before ``rows_end`` and the longer one from ``columns_from`` on."""
+        shorts = lo + np.flatnonzero(short[lo:rows_end])
+        for s in range(0, len(shorts), self.BLOCK):
+            a = shorts[s : s + self.BLOCK]
+            end = lo + int(np.searchsorted(size[lo:hi], self.most[row[a[-1]]], "right"))
+            own = parity[a][:, None]
+            for b in range(max(int(a[0]) + 1, columns_from), end, self.WIDE):
+                c = min(end, b + self.WIDE)
+                self.compared += len(a) * (c - b)
+                i, j = np.divmod(np.flatnonzero(np.bitwise_count(own ^ parity[None, b:c]) <= limit[None, b:c]), c - b)
+                i, j = a[i], b + j
+                later = j > i
+                self._keep(row, short, i[later], (j - i)[later])
+
+    def _keep(self, row: np.ndarray, short: np.ndarray, i: np.ndarray, distance) -> None:
+        """Of the pairs of elements, those that no size or parity rules out."""
+        i, j = i[short[i]], row[(i + distance)[short[i]]]
+        i = row[i]
+        both = (self.n[i] + self.n[j]) * self.share + 1e-6
+        good = self.long[j] & (self.n[j] <= self.most[i]) & (self.ids[i] != self.ids[j])
+        good &= (np.bitwise_count(self.parity[i] ^ self.parity[j]) <= both) & (np.bitwise_count(self.other[i] ^ self.other[j]) <= both)
+        if good.any():
+            self.seen.append(np.stack([i[good], j[good]]))
+
+
+def _met(rows: DataFrame, similarity: float, boundary: int, leaf: int) -> DataFrame:
+    """(a, b): the pairs that meet in the lists, which are read whole, some at a time."""
+    chunk = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # where the last list begins, which may go on
+            if size + cut >= chunk and (cut or held and held[-1].column(0)[-1].as_py() != keys[0]):
+                yield _Meeting(pa.Table.from_batches([*held, batch.slice(0, cut)]), similarity, boundary, leaf).pairs()
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
+        if size:
+            yield _Meeting(pa.Table.from_batches(held), similarity, boundary, leaf).pairs()
 
-    return sets.select("set_id", "words").mapInArrow(run, _KEYS)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
 def _uses(sets: DataFrame) -> np.ndarray:
@@ -192,10 +362,10 @@ def _uses(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _hot_keys(sets: DataFrame, total: int, uses, short: int, similarity: float, boundary: int) -> dict[int, int]:
+def _hot_keys(sets: DataFrame, total: int, uses, similarity: float, boundary: int, leaf: int) -> dict[int, int]:
     """The number of parts of each key that many sets have, estimated on a sample of sets."""
     share = max(1, total // HOT_SAMPLE)
-    some = _keys(sets.where(F.pmod(F.xxhash64("set_id"), F.lit(share)) == 0), uses, short, similarity, boundary, {})
+    some = _lists(sets.where(F.pmod(F.xxhash64("set_id"), F.lit(share)) == 0), uses, similarity, boundary, leaf, {}, 0, 1)
     counts = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") * share > HOT_ROWS) & (F.col("n") >= 10))
     return {r.key: math.ceil(r.n * share / HOT_ROWS) for r in counts.collect()}
 
@@ -218,14 +388,11 @@ def near_duplicate_sets(
         boundary = plan_join(sizes, int((counts > 1).sum()), similarity)
     uses = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 1 << 31 else counts)
     total = sum(sizes.values())
-    short = max(2, int(SHORT * total))
-    rows = _keys(sets, uses, short, similarity, boundary, _hot_keys(sets, total, uses, short, similarity, boundary))
-    a, b = rows.alias("a"), rows.alias("b")
-    lo, hi, own = f"(a.role >> {2 * _ROLE})", f"((a.role >> {_ROLE}) & {(1 << _ROLE) - 1})", f"(b.role & {(1 << _ROLE) - 1})"
-    meet = f"a.key = b.key AND {own} >= {lo} AND {own} <= {hi} AND a.set_id <> b.set_id"
-    # Two sets of at most hi/k and own words differ in at most this share of both; ``lo`` is the shorter's size or more.
-    meet += f" AND (bit_count(a.parity ^ b.parity) <= ({lo} + {own}) * {(1 - similarity) / (1 + similarity)}D + 1e-6D OR {own} = {(1 << _ROLE) - 1})"
-    found = a.join(b, F.expr(meet)).select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
+    leaf = LEAF
+    salts = _hot_keys(sets, total, uses, similarity, boundary, leaf)
+    # The lists are made and joined in turns, so that only a part of them is on disk at a time.
+    met = [materialize(_met(_lists(sets, uses, similarity, boundary, leaf, salts, turn, TURNS), similarity, boundary, leaf), "met") for turn in range(TURNS)]
+    found = reduce(DataFrame.unionByName, met)
     n = F.size("words")
     # Candidates meet first on 16 bits of each word, which can only make sets look more alike, but for the
     # words of one set that coincide: a pair loses at most as many shared words as the lesser number of

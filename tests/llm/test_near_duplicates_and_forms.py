@@ -107,6 +107,32 @@ def test_split_keys_lose_no_pair(spark, monkeypatch):
         assert got == pairs_by_force(rows)
 
 
+@pytest.mark.parametrize("leaf, boundary", [(2, None), (2, 25), (5, 1000), (40, None)])
+def test_long_lists_told_apart_by_further_words_lose_no_pair(spark, monkeypatch, leaf, boundary):
+    rng = random.Random(10)
+    few = [f"v{k}" for k in range(9)]
+    rows = [(k, text) for k, text in corpus(11)]
+    rows += [(1_000 + k, " ".join(rng.choices(rng.sample(few, rng.randrange(1, 9)), k=14))) for k in range(60)]
+    rows += [(2_000 + k, " ".join(edited(rng, [f"w{k}" for k in range(30)], rng.randrange(9)))) for k in range(60)]
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "CHUNK", 500)
+    monkeypatch.setattr(neardup._Meeting, "GROW", 2_000)
+    got = [tuple(r) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, "message_id bigint, text string"), boundary=boundary).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs_by_force(rows)
+
+
+def test_compared_pairs_do_not_grow_with_the_square_of_the_sets(spark):
+    compared = {}
+    for total in (1_500, 6_000):
+        rng = random.Random(12)
+        rows = [(k, sorted(rng.sample(range(300), 30))) for k in range(total)]
+        sets = spark.createDataFrame([(k, [hash((w, 5)) for w in words]) for k, words in rows], "set_id bigint, words array<bigint>")
+        uses = spark.sparkContext.broadcast(neardup._uses(sets))
+        lists = neardup._lists(sets, uses, 0.7, 1_000, 20, {}, 0, 1)
+        compared[total] = neardup._Meeting(lists.toArrow(), 0.7, 1_000, 20).compared / total
+    assert compared[6_000] < 2 * compared[1_500]
+
+
 def test_beginnings_hold_the_shared_words():
     rng = random.Random(9)
     for _ in range(300):
