@@ -39,6 +39,7 @@ _WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 20
 LEAF = 1_000  # rows that are compared with one another; more are told apart by a further word, which costs about as much
 DEPTH = 6  # words of a subset at most
+ALIKE = 2.0  # a list is told apart no further if that leaves more than so many times the pairs to compare
 TURNS = 2  # parts of the lists that are on disk one after the other
 CHUNK = 200_000  # rows of whole lists that a worker holds
 HOT_ROWS = 200_000  # rows of one key that one task takes; a key of more is split
@@ -234,8 +235,12 @@ class _Meeting:
         self.compared = 0
         self._visit(self._sorted(key.view(np.uint64), self.start, self.short), 1)
 
-    def _sorted(self, node: np.ndarray, element: np.ndarray, short: np.ndarray) -> np.ndarray:
-        mixed = _mix(node, np.uint64(7))
+    def _sorted(self, word: np.ndarray, element: np.ndarray, short: np.ndarray, parent: np.ndarray | None = None, parents: int = 0) -> np.ndarray:
+        """The elements by their node, which is a word below a parent, and there by the sizes of their sets."""
+        mixed = _mix(word, np.uint64(7)) >> self.bits
+        if parents:
+            width = np.uint64(parents.bit_length())
+            mixed = (mixed >> width) | (parent.astype(np.uint64) << np.uint64(64) - width - self.bits)
         return np.sort((mixed << self.bits) | (element.astype(np.uint64) << np.uint64(1)) | short.astype(np.uint64))
 
     def pairs(self) -> pa.RecordBatch:
@@ -289,7 +294,21 @@ class _Meeting:
             following = element[which] + 1 + np.arange(len(which)) - np.repeat(np.cumsum(t) - t, t)
             owner = row[which]
             also = short[which] & (self.pos[owner] + following - self.start[owner] < self.shorter[owner] + k + 1)
-            self._visit(self._sorted((group[which].astype(np.uint64) << np.uint64(16)) | self.codes[following], following, also), k + 1)
+            first, parents = int(group[lo]), int(group[hi - 1] - group[lo]) + 1
+            grown = self._sorted(self.codes[following], following, also, group[which] - first, parents)
+            # Sets that are alike stay together whatever word follows; they are compared here.
+            top = np.uint64(64 - parents.bit_length())
+            new = np.flatnonzero(np.concatenate([[True], grown[1:] >> self.bits != grown[:-1] >> self.bits])) if len(grown) else np.zeros(0, dtype=np.int64)
+            below = np.bincount((grown[new] >> top).astype(np.int64), weights=np.diff(np.append(new, len(grown))).astype(float) ** 2, minlength=parents)
+            alike = np.flatnonzero(below > ALIKE * count[first : first + parents].astype(float) ** 2)
+            if len(alike):
+                begin = np.cumsum(count) - count
+                for g in alike + first:
+                    x, y = int(begin[g]), int(begin[g] + count[g])
+                    r = row[x:y]
+                    self._blocks(r, short[x:y], self.parity[r], self.limit[r], self.n[r], 0, y - x, y - x, 0)
+                grown = grown[~np.isin(grown >> top, alike.astype(np.uint64))]
+            self._visit(grown, k + 1)
 
     def _few(self, row: np.ndarray, short: np.ndarray, cuts: np.ndarray, count: np.ndarray) -> None:
         """Pairs of small nodes: all elements and those a few places on."""
