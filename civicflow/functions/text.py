@@ -23,7 +23,7 @@ def remove_controls(c: Column) -> Column:
 def normalize_whitespace(c: Column) -> Column:
     """One kind of line end, single blanks, no blanks at line ends, at most one empty line, trimmed."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t\f\x0B\x{A0}]+", " ")
+    c = F.regexp_replace(c, r"[ \t\f\x0B\x{A0}]{2,}|[\t\f\x0B\x{A0}]", " ")  # not a match for every single blank
     c = F.regexp_replace(c, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
@@ -100,11 +100,13 @@ def rejections(text: Column, has_time: Column) -> Column:
 
 
 def has_recurrence_marker(c: Column) -> Column:
-    low = F.lower(c)
-    found = F.lit(False)
-    for marker in RECURRENCE_MARKERS:
-        found = found | F.coalesce(F.contains(low, F.lit(marker)), F.lit(False))
-    return found
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for marker in RECURRENCE_MARKERS:
+            out = out | F.coalesce(F.contains(low, F.lit(marker)), F.lit(False))
+        return out
+
+    return F.exists(F.array(F.lower(c)), found)  # lower case is made once, not for every marker
 
 
 def has_offset(raw: Column) -> Column:

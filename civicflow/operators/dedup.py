@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import text as T
-from civicflow.operators.normalize import sequence_ratio, simhash64
+from civicflow.operators.normalize import similarity_from, simhash64
 from civicflow.session import materialize, release
 
 REPEAT_AFTER_S = 86_400
@@ -44,6 +44,11 @@ def near_duplicate_edges(rows: DataFrame) -> DataFrame:
     """(a, b, similarity) of messages that share a band of their hash, differ in few bits and are alike.
 
     Equal texts are joined once: the edges link the first message of each text."""
+    return _near_edges(rows)[0]
+
+
+def _near_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges and the table they read."""
     texts = rows.where(F.length(F.trim("text")) >= T.MIN_CHARS).groupBy("text").agg(F.min("message_id").alias("id"))
     hashed = materialize(texts.withColumn("h", simhash64("text")), "simhash")
     keyed = hashed.select("id", "h", "text", F.explode(T.bands(F.col("h"))).alias("k")).select("id", "h", F.col("k.band").alias("band"), F.col("k.bits").alias("bits"))
@@ -51,8 +56,8 @@ def near_duplicate_edges(rows: DataFrame) -> DataFrame:
     close = a.join(b, F.expr("a.band = b.band AND a.bits = b.bits AND a.id < b.id")).where(T.hamming(F.col("a.h"), F.col("b.h")) <= HAMMING)
     pairs = close.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     both = pairs.join(hashed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(hashed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    score = F.greatest(T.token_jaccard(T.tokens(F.col("ta")), T.tokens(F.col("tb"))), sequence_ratio("ta", "tb"))
-    return both.select("a", "b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    score = similarity_from(SIMILARITY - 1e-6)("ta", "tb", T.token_jaccard(T.tokens(F.col("ta")), T.tokens(F.col("tb"))))
+    return both.select("a", "b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= SIMILARITY), hashed
 
 
 def greedy_verdicts(rows: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -118,13 +123,21 @@ def ladder_verdicts(rows: DataFrame) -> DataFrame:
     live = materialize(live, "ladder-rows")
     texts = live.select(F.col("p.i").alias("message_id"), F.col("model_text").alias("text"))
     digests = live.select(F.col("p.i").alias("i"), F.col("k_text").alias("k"))
-    near = near_duplicate_edges(texts).join(digests.select(F.col("i").alias("a"), F.col("k").alias("ka")), "a").join(digests.select(F.col("i").alias("b"), F.col("k").alias("kb")), "b")
+    edges, hashed = _near_edges(texts)
+    near = edges.join(digests.select(F.col("i").alias("a"), F.col("k").alias("ka")), "a").join(digests.select(F.col("i").alias("b"), F.col("k").alias("kb")), "b")
     near = materialize(near.select("similarity", F.explode(F.array(F.struct(F.col("ka").alias("x"), F.col("kb").alias("y")), F.struct(F.col("kb").alias("x"), F.col("ka").alias("y")))).alias("e")).select("e.x", "e.y", "similarity"), "ladder-edges")
+    release(hashed)
     nothing = F.lit(None).cast("struct<t:bigint,s:string,e:string,i:bigint>")
-    state = materialize(
-        live.drop("model_text").withColumns({"kept": F.lit(None).cast("boolean"), "leader": nothing, "step": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")}), "ladder-state"
-    )
+    # A row is alone if no other has its identity, url or text and its text has no near one; equal hashes of different keys only keep a row among the others.
+    told = lambda n, k: F.xxhash64(F.lit(n), k)
+    keys = live.select(F.col("p.i").alias("i"), F.explode(F.array(*(told(n, k) for n, k in enumerate(("k_identity", "k_url", "k_text"))))).alias("h"))
+    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h").unionByName(near.select(told(2, "x").alias("h"))).distinct()
+    meeting = keys.join(shared, "h", "left_semi").select("i").distinct().withColumn("meets", F.lit(True))
+    marked = live.join(meeting, F.col("p.i") == F.col("i"), "left").drop("i", "model_text").withColumn("meets", F.coalesce("meets", F.lit(False)))
+    marked = materialize(marked.withColumns({k: F.when(F.col("meets"), F.col(k)) for k in ("k_identity", "k_url", "k_text")}), "ladder-marked")
     release(live)
+    unset = {"kept": F.lit(None).cast("boolean"), "leader": nothing, "step": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")}
+    state = materialize(marked.where("meets").drop("meets").withColumns(unset), "ladder-state")
     left = state.count()
     while left:
         open_rows = state.where("kept IS NULL")
@@ -161,6 +174,7 @@ def ladder_verdicts(rows: DataFrame) -> DataFrame:
         if left == last:
             raise RuntimeError(f"{left} rows cannot be settled")
     kind = F.when(F.col("leader").isNull(), "unique").when(F.col("kept"), "repeated_appeal").when(F.col("leader.s") != F.col("p.s"), "cross_source_repost").otherwise("technical_duplicate")
+    state = state.unionByName(marked.where("NOT meets").drop("meets").withColumns(unset | {"kept": F.lit(True)}))
     out = state.select(F.col("p.i").alias("message_id"), F.coalesce("leader.i", "p.i").alias("first_id"), "step", "similarity", kind.alias("kind"), F.col("kept").alias("included"))
     rejected = rows.where("rejected").select(
         "message_id", F.col("message_id").alias("first_id"), F.lit(None).cast("string").alias("step"), F.lit(None).cast("double").alias("similarity"), F.lit("rejected").alias("kind"), F.lit(False).alias("included")

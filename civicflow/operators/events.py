@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.session import materialize
 
 DIMENSIONS, COSINE, MIN_SCOPE, MIN_CLUSTER = 64, 0.72, 5, 2
+SPREAD, GROUPS_APART, TILE = 12, 96, (512, 1024)  # blocks of a scope, partitions of their groups, and what of a product stays in the processor's cache
 NEAR = 2e-7  # a dimension, beyond what single precision adds to or takes from a product of unit vectors
 WORD = "[A-Za-zА-Яа-яЁё][0-9A-Za-zА-Яа-яЁё-]+"
 #: Words that tell nothing about an event.
@@ -48,6 +52,27 @@ def hashing_embedding(words: DataFrame, key: str, dimensions: int = DIMENSIONS)
     return per.select(key, vector.alias("vector"))
 
 
+def hashing_counts(rows: DataFrame, key: str, words: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, vector) of rows that hold all their words as an array: hashing_embedding before it gets unit length,
+    in whole numbers, without a row a word. No row for one without words; keys should be unique."""
+
+    def count(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            coded = lists.flatten().dictionary_encode()
+            digests = [hashlib.sha256(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+            place = np.array([int(d[:8], 16) % dimensions for d in digests], np.int64)
+            sign = np.array([1.0 if int(d[9], 16) % 2 else -1.0 for d in digests])
+            at, code = pc.list_parent_indices(lists).to_numpy(), coded.indices.to_numpy()
+            held = np.unique(at)
+            cells = np.bincount(np.searchsorted(held, at) * dimensions + place[code], sign[code], len(held) * dimensions).astype(np.int32)
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * dimensions), pa.array(cells))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(held)), vector], ["key", "vector"])
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(F.col(key).alias("key"), F.col(words).alias("words")).mapInArrow(count, f"key {kind}, vector array<int>").withColumnRenamed("key", key)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -69,17 +94,19 @@ def _forest(n: int, chunks) -> np.ndarray:
     return parent
 
 
-def cosine_edges(vectors: DataFrame, threshold: float = COSINE, block: int = 4096, forest: bool = False) -> DataFrame:
+def cosine_edges(vectors: DataFrame, threshold: float = COSINE, block: int = 65_536, forest: bool = False) -> DataFrame:
     """(scope, a, b) of vectors of one scope with at least a cosine, a < b; every pair is compared.
 
-    A scope is cut into blocks of rows by a hash of the key, and each task compares two blocks with one
-    matrix product, so a large scope spreads over tasks and no task holds more than two blocks. With
-    ``forest`` each task gives only edges that join what its edges join: the components are the same, and
+    A scope is cut into blocks of rows by a hash of the key, at most ``SPREAD`` unless they would exceed
+    ``block`` rows, and each group compares two blocks by matrix products, so a large scope spreads over
+    tasks and no group holds more than two blocks. The vectors need not have unit length. With
+    ``forest`` each group gives only edges that join what its edges join: the components are the same, and
     a block of alike texts gives a row a text instead of a row a pair."""
-    sizes = vectors.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("parts"))
+    n = F.count(F.lit(1))
+    sizes = vectors.groupBy("scope").agg(F.greatest(F.ceil(n / block), F.least(F.ceil(n / 4096), F.lit(SPREAD)), F.lit(1)).cast("int").alias("parts"))
     rows = vectors.join(sizes, "scope").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("scope", F.col("part").alias("p"), F.col("other").alias("q"), "key", "vector", F.lit(0).alias("side"))
-    right = rows.where("part > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).select("scope", F.col("other").alias("p"), F.col("part").alias("q"), "key", "vector", F.lit(1).alias("side"))
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q"), (o < F.col("part")).cast("int").alias("side")))
+    rows = rows.select("scope", "key", "vector", F.explode(met).alias("m")).select("scope", "m.p", "m.q", "key", "vector", "m.side")
 
     def compare(table: pa.Table) -> pa.Table:
         scope, keys, side = table["scope"][0].as_py(), table["key"].to_numpy(), table["side"].to_numpy()
@@ -89,38 +116,60 @@ def cosine_edges(vectors: DataFrame, threshold: float = COSINE, block: int = 409
         u, v, a, b = (m, m, keys, keys) if one else (m[side == 0], m[side == 1], keys[side == 0], keys[side == 1])
         x = y = keys[:0]
         if len(a) and len(b):
-            hits = _alike(u, v, threshold - 1e-12)
+            hits = _alike(u, v, threshold - 1e-12, one)
             if forest:
                 shift = 0 if one else len(a)
-                root = _forest(shift + len(b), ((i, j + shift) for i, j in hits))
+                root = _forest(shift + len(b), ((i, j + shift) for i, j in _gathered(hits)))
                 both = a if one else np.concatenate([a, b])
                 moved = np.flatnonzero(root != np.arange(len(root)))
                 x, y = both[moved], both[root[moved]]
             else:
                 i, j = (np.concatenate(k) for k in zip(*hits, strict=True))
-                x, y = a[i], b[j]
-                keep = x < y if one else np.ones(len(x), bool)
-                x, y = x[keep], y[keep]
+                keep = a[i] != b[j]
+                x, y = a[i][keep], b[j][keep]
         kinds = table.schema.field("scope").type, table.schema.field("key").type
         return pa.table({"scope": pa.array([scope] * len(x), kinds[0]), "a": pa.array(np.minimum(x, y), kinds[1]), "b": pa.array(np.maximum(x, y), kinds[1])})
 
     kind = dict(vectors.dtypes)
-    return left.unionByName(right).groupBy("scope", "p", "q").applyInArrow(compare, f"scope {kind['scope']}, a {kind['key']}, b {kind['key']}")
+    spread = rows.repartition(GROUPS_APART, "scope", "p", "q")  # by number: else adaptive execution puts small blocks, which cost their square, into few tasks
+    return spread.groupBy("scope", "p", "q").applyInArrow(compare, f"scope {kind['scope']}, a {kind['key']}, b {kind['key']}")
 
 
-def _alike(u: np.ndarray, v: np.ndarray, least: float):
+def _alike(u: np.ndarray, v: np.ndarray, least: float, one: bool = False):
     """(i, j) with u[i] @ v[j] >= least, in chunks, of unit vectors; products in single precision that are close
-    to ``least`` are made again in double."""
-    short, low, step, near = u.astype(np.float32), v.astype(np.float32).T, max(1, 2_000_000 // len(v)), NEAR * (u.shape[1] + 2)
-    for k in range(0, len(u), step):
-        product = (short[k : k + step] @ low).ravel()
-        at = np.flatnonzero(product >= least - near)
-        i, j = at // len(v) + k, at % len(v)
-        sure = product[at] >= least + near
-        close = np.flatnonzero(~sure)
-        for c in np.array_split(close, len(close) // 100_000 + 1):
-            sure[c] = np.einsum("ij,ij->i", u[i[c]], v[j[c]]) >= least
-        yield i[sure], j[sure]
+    to ``least`` are made again in double. ``one``: u and v are the same, only i < j is wanted."""
+    short, low, near = u.astype(np.float32), v.astype(np.float32), NEAR * (u.shape[1] + 2)
+    product, over = np.empty(TILE, np.float32), np.empty(TILE, bool)
+    for c in range(0, len(v), TILE[1]):
+        right = np.ascontiguousarray(low[c : c + TILE[1]].T)
+        for r in range(0, min(len(u), c + TILE[1]) if one else len(u), TILE[0]):
+            left = short[r : r + TILE[0]]
+            if (len(left), right.shape[1]) != product.shape:
+                product, over = np.empty((len(left), right.shape[1]), np.float32), np.empty((len(left), right.shape[1]), bool)
+            np.matmul(left, right, out=product)
+            at = np.flatnonzero(np.greater_equal(product, least - near, out=over))
+            i, j = at // right.shape[1] + r, at % right.shape[1] + c
+            sure = product.ravel()[at] >= least + near
+            if one:
+                later = i < j
+                i, j, sure = i[later], j[later], sure[later]
+            close = np.flatnonzero(~sure)
+            for k in np.array_split(close, len(close) // 100_000 + 1):
+                sure[k] = np.einsum("ij,ij->i", u[i[k]], v[j[k]]) >= least
+            yield i[sure], j[sure]
+
+
+def _gathered(chunks, rows: int = 1_000_000):
+    """The same edges in chunks of about so many."""
+    held, n = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        n += len(chunk[0])
+        if n >= rows:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def clusters(vectors: DataFrame, edges: DataFrame, least: int = MIN_CLUSTER, allow_single: bool = True) -> DataFrame:

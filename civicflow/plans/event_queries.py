@@ -11,7 +11,7 @@ from civicflow.operators import dedup, events, scoring
 from civicflow.plans.label_queries import _LATEST, _latest
 from civicflow.plans.registry import query
 from civicflow.plans.text_queries import prepared_messages
-from civicflow.session import materialize
+from civicflow.session import materialize, release
 from civicflow.sources.pages import access_wall
 from civicflow.sources.tables import table
 
@@ -272,15 +272,16 @@ def pipeline_events(spark, d) -> DataFrame:
     messages = prepared.join(verdicts, "message_id", "left_semi").select("message_id", F.col("model_text").alias("text"), "published_at")
     classes = _latest(spark, d).where("included_for_analysis").select("message_id", F.col("category.label").alias("category"), F.col("topic.label").alias("topic"))
     rows = materialize(messages.join(classes, "message_id"), "classified")
+    release(prepared)
     scopes = _pipeline_places(spark, d).where("level <> 'global'").select("message_id", "level", "object_id").distinct()
     scopes = scopes.unionByName(rows.select("message_id", F.lit("global").alias("level"), F.lit("global").alias("object_id")))
     key = F.concat_ws("|", "level", "object_id", F.col("message_id").cast("string")).alias("key")
     scoped = rows.select("message_id", "published_at", "category", "topic").join(scopes, "message_id").select("*", key)
     scoped = materialize(events.with_enough_messages(scoped), "scoped")
-    words = rows.select("message_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(events.WORD), F.lit(0))).alias("word"))
-    vectors = events.hashing_embedding(words, "message_id")
+    words = rows.select("message_id", F.regexp_extract_all(F.lower("text"), F.lit(events.WORD), F.lit(0)).alias("words"))
+    vectors = events.hashing_counts(words, "message_id", "words")
     inputs = materialize(scoped.join(vectors, "message_id").select(F.concat_ws("|", "level", "object_id").alias("scope"), "key", "vector"), "event-vectors")
-    edges = materialize(events.cosine_edges(inputs, block=16_384, forest=True), "event-edges")
+    edges = materialize(events.cosine_edges(inputs, forest=True), "event-edges")
     found = events.clusters(inputs, edges)
     members = materialize(scoped.join(found.select("key", "cluster"), "key"), "event-members")
     return events.aggregate_events(members).select("event_id", "level", "object_id", "size", "category", "topic", "started_at", "ended_at", "message_ids")

@@ -213,9 +213,8 @@ def d03_near_duplicate_edges(spark, d):
 
 def prepared_messages(spark, d) -> DataFrame:
     """Messages with their model text, as the ladder reads them."""
-    rows = _messages(spark, d)
-    texts = normalize.preprocess(rows).select("message_id", "model_text", (F.size("rejection_reasons") > 0).alias("rejected"))
-    return materialize(rows.select("message_id", "source", "external_id", "url", "published_at").join(texts, "message_id"), "prepared")
+    rows = normalize.preprocess(_messages(spark, d).where("message_id IS NOT NULL"), "url", "published_at")
+    return materialize(rows.select("message_id", "source", "external_id", "url", "published_at", "model_text", (F.size("rejection_reasons") > 0).alias("rejected")), "prepared")
 
 
 @query()

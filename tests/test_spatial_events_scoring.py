@@ -185,3 +185,30 @@ def test_pipeline_keeps_the_global_scope_every_place_and_the_least_size(spark, m
     got = {(r.level, r.object_id): (r.size, r.score) for r in event_queries.pipeline_risk_report(spark, "").collect()}
     assert {k: v[0] for k, v in got.items()} == {("global", "global"): 6, ("road", "road:ижевск:ленина"): 6, ("road", "road:ижевск:мира"): 6, ("building", "b1"): 6}
     assert all(v[1] is not None for v in got.values()) and got["road", "road:ижевск:мира"][1] > got["building", "b1"][1]
+
+
+def test_counts_of_hashed_words_have_the_direction_of_the_embedding(spark):
+    texts = spark.createDataFrame([(1, ["нет", "воды", "нет", "света"]), (2, []), (3, None), (4, ["вода"] * 300)], "message_id bigint, words array<string>")
+    want = {r.message_id: r.vector for r in events.hashing_embedding(texts.select("message_id", F.explode("words").alias("word")), "message_id").collect()}
+    got = {r.message_id: np.array(r.vector) for r in events.hashing_counts(texts, "message_id", "words").collect()}
+    assert got.keys() == want.keys() == {1, 4} and all((got[m] / np.linalg.norm(got[m]) == want[m]).all() for m in want)
+    assert abs(got[4]).max() == 300
+
+
+def test_products_of_several_tiles_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(events, "TILE", (7, 11))
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=(50, 6))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    exact = np.einsum("ik,jk->ij", u, u)
+    for v, one in ((u, True), (u[:33], False)):
+        want = {(i, j) for i, j in zip(*np.nonzero(exact[:, : len(v)] >= 0.4), strict=True) if i < j or not one}
+        assert {(i, j) for part in events._alike(u, v, 0.4, one) for i, j in zip(*part, strict=True)} == want
+
+
+def test_blocks_of_one_scope_spread_over_tasks(spark):
+    rng = np.random.default_rng(9)
+    v = spark.createDataFrame([("s", k, rng.normal(size=3).tolist()) for k in range(60)], "scope string, key bigint, vector array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    tasks = events.cosine_edges(v, 0.9, block=5).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 20

@@ -172,3 +172,33 @@ def test_addresses_of_private_networks_are_not_safe(spark):
     good = ["http://172.32.0.1/", "https://a.test", "https://a.test:443/x?y=1", "http://[2001:4860::1]/", "https://10.test/"[:8] + "b.test/a@b"]
     rows = spark.createDataFrame([(u, u in good) for u in bad + good] + [(None, None)], "url string, want boolean")
     assert [tuple(r) for r in rows.select("url", "want", safe_url(rows.url).alias("safe")).collect() if r[1] != r[2]] == []
+
+
+def test_similarity_hashes_of_many_texts_equal_single_ones():
+    texts = ["нет воды во дворе", "", "!!", "а", "а б", "Straße weiß ŉ k", "\u0345x y z"] + [f"слово{k} и {k % 7} раз в доме" for k in range(200)]
+    assert normalize.simhashes(texts, least=50).tolist() == [normalize.simhash(t) for t in texts]
+    assert normalize.simhash("один два три четыре") == normalize.simhash("Один ДВА три - четыре!")
+
+
+def test_bounded_similarity_equals_the_ratio_from_its_least_on(spark):
+    rng = random.Random(2)
+    words = [f"слово{k}" for k in range(30)]
+    pairs = []
+    for _ in range(300):
+        a = rng.sample(words, 12)
+        b = [w if rng.random() < 0.8 else rng.choice(words) for w in a]
+        pairs.append((" ".join(a), " ".join(b), round(rng.random(), 3)))
+    rows = spark.createDataFrame([*pairs, ("a", None, 0.5), ("", "", 0.0), ("аааа бббб", "вввв гггг", 0.1)], "a string, b string, o double")
+    got = rows.select(F.greatest(normalize.sequence_ratio("a", "b"), "o").alias("whole"), normalize.similarity_from(0.8)("a", "b", F.col("o")).alias("bounded")).collect()
+    assert all(r.whole == r.bounded or max(r.whole, r.bounded) < 0.8 for r in got) and any(r.whole != r.bounded for r in got)
+
+
+def test_rows_that_meet_no_other_take_no_part_in_the_rounds(spark, monkeypatch):
+    rows = [(i, "s", str(i), None, f"совсем другой текст номер {i} про дом {i * i}", i) for i in range(40)] + [(50, "s", "50", None, "снова нет света", 1), (51, "t", "51", None, "снова нет света", 2)]
+    frame = spark.createDataFrame(rows, "message_id bigint, source string, external_id string, url string, model_text string, s bigint").withColumns({"rejected": F.lit(False), "published_at": F.timestamp_seconds("s")})
+    seen, inner = [], dedup.materialize
+    monkeypatch.setattr(dedup, "_near_edges", lambda texts: (spark.createDataFrame([], "a bigint, b bigint, similarity double"), spark.createDataFrame([], "a int")))
+    monkeypatch.setattr(dedup, "materialize", lambda df, label: seen.append((label, inner(df, label))) or seen[-1][1])
+    got = {r.message_id: r for r in dedup.ladder_verdicts(frame).collect()}
+    assert len(got) == 42 and not got[51].included and got[51].first_id == 50 and all(r.included and r.first_id == i and r.kind == "unique" for i, r in got.items() if i != 51)
+    assert [t for label, t in seen if label == "ladder-state"][-1].count() == 2
